@@ -44,7 +44,7 @@ def hashes(words: list[str]) -> np.ndarray:
     """A 64-bit hash per shingle position."""
     if len(_HASHES) > CACHE_WORDS:
         _HASHES.clear()
-    for w in set(words) - _HASHES.keys():
+    for w in [w for w in set(words) if w not in _HASHES]:
         _HASHES[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     k = min(SHINGLE, len(words))

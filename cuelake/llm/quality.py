@@ -45,7 +45,7 @@ def counts(text: str | None) -> np.ndarray:
         return out
     if len(_WORDS) > CACHE_WORDS:
         _WORDS.clear()
-    for w in set(words) - _WORDS.keys():
+    for w in [w for w in set(words) if w not in _WORDS]:
         _WORDS[w] = _code(w)
     codes = np.fromiter(map(_WORDS.__getitem__, words), np.int32, len(words))
     n = len(words)
