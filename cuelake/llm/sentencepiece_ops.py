@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,8 +28,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers; the memory of a worker is bounded by it.
-CACHE_WORDS = 400_000
-CACHED_LENGTH = 64
+CACHE_WORDS = 700_000
 
 
 def _fields(raw: bytes):
@@ -222,17 +223,21 @@ class PieceModel:
             out[w] = [self.vocab[p] for p in _marks(self, marks)] + self._spell(tail[1:] if alone else tail)
         return out
 
-    def _key_words(self, key: str) -> list[str]:
-        """A cache key is a word without its mark, or a line break and the unmarked word that begins a line."""
-        return [x for x in re.split("(\n)", key) if x] if key[:1] == "\n" else [MARK + key]
-
     def _learn(self, keys: set[str]) -> None:
-        if len(self._cache) + len(keys) > CACHE_WORDS:
-            self._cache.clear()
-        parts = {k: self._key_words(k) for k in keys}
-        found = self.encode_words({w for x in parts.values() for w in x})
-        for k, x in parts.items():
-            self._cache[k] = np.array([i for w in x for i in found[w]], "<u4").tobytes()
+        """A cache key is a word without its mark, or a line break and the unmarked word that begins a line."""
+        words = {}
+        for k in keys:
+            words[k] = k[1:] if k[:1] == "\n" else MARK + k
+        walk = self._walk_bpe if self.type == BPE else self._walk_unigram
+        found = walk(sorted(set(words.values()) - {""}))
+        found[""] = []
+        lines = array("I", self._spell([-ord("\n") - 1] if "\n" not in self.vocab else [self.vocab["\n"]])).tobytes()
+        cache = self._cache
+        for k, w in words.items():
+            ids = found[w]
+            if not w.isascii() or min(ids, default=0) < 0:
+                ids = self._spell(ids)
+            cache[k] = lines + array("I", ids).tobytes() if k[:1] == "\n" else array("I", ids).tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -249,8 +254,9 @@ class PieceModel:
                 wanted.update(k for k in keys if k not in cache)
             else:
                 split.append(shown.replace(" \n", "\n").replace(" ", MARK))
-        if len(cache) + len(wanted) > CACHE_WORDS:
-            wanted = {k for keys in split if isinstance(keys, list) for k in keys}
+        if len(cache) + len(wanted) > CACHE_WORDS:  # the oldest half has the commonest
+            cache = self._cache = dict(islice(cache.items(), CACHE_WORDS // 2))
+            wanted = {k for keys in split if isinstance(keys, list) for k in keys if k not in cache}
         if wanted:
             self._learn(wanted)
         out = []
@@ -262,7 +268,7 @@ class PieceModel:
             else:
                 words = re.findall(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+", keys)
                 found = self.encode_words(set(words))
-                out.append(np.array([i for w in words for i in found[w]], "<u4").tobytes())
+                out.append(array("I", [i for w in words for i in found[w]]).tobytes())
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -14,9 +14,12 @@ the end id.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,9 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 TAIL = struct.Struct("<QQQQ8s")
 #: Chunks that a worker remembers the ids of.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 END_ID = 0
+PUNCTUATION = ".,;:!?|$%&*#"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +200,10 @@ _WORKER: dict = {}
 class ByteBpe:
     """Whole-text ids by the tokenizers library, remembered per chunk.
 
-    The byte-level pre-tokenizer always begins a new token at the last space before a character that is no space, so
-    a text may be cut there and its chunks encoded on their own. Texts with a special token's string, or with a space
-    before other white space, go to the library whole.
+    The byte-level pre-tokenizer always begins a new token at a single white-space character, so a text is cut there
+    and its chunks (a space and a word, or a line break and a word) are encoded on their own, each once. Letters and
+    punctuation are tokens apart; those go straight to the library's model. Texts with a special token's string or
+    with white space in a row go to the library whole.
     """
 
     def __init__(self, raw: str):
@@ -206,53 +211,68 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(raw)
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.rest: dict[str, bytes] = {}
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
-        assert len(self.newline) == 1
+        self.tails: dict[str, bytes] = {"": b""}
+        # Fixed by byte-level BPE: printable bytes stand for themselves, the others for the characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in shown]
+        self.letters = {x: chr(256 + i) for i, x in enumerate(hidden)}
+        self.odd = re.compile(r"\s\s|\s\Z|[\x1c-\x1f\x85]|\A\s").search
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _chunk_ids(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, many in a call: a line break between two chunks is always a token of its own."""
-        odd = [c for c in chunks if "\n" in c or not c.strip() or c[-1:].isspace() or c[1:2].isspace()]
-        out = dict(zip(odd, self._ids(odd))) if odd else {}
-        plain = [c for c in chunks if c not in out]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tok.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) != len(part) - 1:
-                out.update(zip(part, self._ids(part)))
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, text: str) -> bytes:
+        """Ids of a space or nothing and letters, one token of the pre-tokenizer."""
+        mapped = ("\u0120" + text[1:] if text[0] == " " else text) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, chunks, known: dict[str, bytes]) -> None:
+        """chunks: a space and a word, a line break and a word, or the first word of a text."""
+        odd, tails = [], self.tails
+        for c in chunks:
+            lead = c[0] if c[0] in " \n" else ""
+            stem = c.rstrip(PUNCTUATION)
+            if not stem[len(lead) :].isalpha():
+                odd.append(c)
                 continue
-            raw = ids.tobytes()
-            begins, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            out.update((c, raw[a:b]) for c, a, b in zip(part, begins, ends))
-        return out
+            tail = c[len(stem) :]
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                    tails[""] = b""
+                tails[tail] = self._ids([tail])[0]
+            known[c] = (self.newline + self._letters(stem[1:]) if lead == "\n" else self._letters(stem)) + tails[tail]
+        for i in range(0, len(odd), 1000):
+            known.update(zip(odd[i : i + 1000], self._ids(odd[i : i + 1000])))
 
     def encode(self, texts: list) -> list[bytes]:
-        import re
-
+        if not hasattr(self, "newline"):
+            self.newline = self._ids(["\n"])[0]
         whole, split, wanted, starts = [], [], set(), set()
-        odd, rest = re.compile(r" \s| $").search, self.rest
+        rest = self.rest
         for i, text in enumerate(texts):
             if not text:
                 split.append(())
-            elif odd(text) or any(s in text for s in self.special):
+            elif self.odd(text) or any(s in text for s in self.special):
                 split.append(None)
                 whole.append(i)
             else:
-                chunks = text.split(" ")
+                chunks = text.replace("\n", " \n").split(" ")
                 split.append(chunks)
                 starts.add(chunks[0])
                 wanted.update(c for c in chunks[1:] if c not in rest)
-        if len(rest) + len(wanted) > CACHE_CHUNKS:
-            rest.clear()
-            wanted = {c for chunks in split if chunks for c in chunks[1:]}
+        if len(rest) + len(wanted) > CACHE_CHUNKS:  # the oldest half has the commonest
+            rest = self.rest = dict(islice(rest.items(), CACHE_CHUNKS // 2))
+            wanted = {c for chunks in split if chunks for c in chunks[1:] if c not in rest}
         if wanted:
-            rest.update((c[1:], x) for c, x in self._chunk_ids([" " + c for c in wanted]).items())
-        first = self._chunk_ids(list(starts))
+            fresh: dict[str, bytes] = {}
+            self._learn([c if c[0] == "\n" else " " + c for c in wanted], fresh)
+            rest.update((c if c[0] == "\n" else c[1:], x) for c, x in fresh.items())
+        first: dict[str, bytes] = {}
+        self._learn(starts, first)
         direct = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
         return [direct[i] if c is None else first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) if c else b"" for i, c in enumerate(split)]
 

@@ -1,11 +1,10 @@
-"""The registry of the retrieval engine's queries."""
+"""The registry of the retrieval engine's queries: importing the plans fills it."""
 
 from __future__ import annotations
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from cuelake.plans import text_queries  # noqa: F401
+from cuelake.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+def flagship(spark, sf_dir):
+    return QUERIES["clean_text"](spark, sf_dir)
