@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuelake.plans import text_queries  # noqa: F401
+from cuelake.plans import search_queries, text_queries  # noqa: F401
 from cuelake.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["clean_text"](spark, sf_dir)
+    return search_queries.hybrid_search(spark, sf_dir)
