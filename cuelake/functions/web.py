@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions.text import collapse, estimate_tokens
 
@@ -18,7 +19,7 @@ SOURCE_HOSTS = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All of HTML's character references; neither engine has the table."""
     return text.map(html.unescape, na_action="ignore")

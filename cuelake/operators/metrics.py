@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 KS = (3, 5, 10)
@@ -83,7 +84,7 @@ def query_costs(rows: DataFrame, rewrites: int = 0, hyde: int = 0, reranks: int
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(answer: pd.Series, reference: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of words; null if either is blank."""
 

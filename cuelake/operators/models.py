@@ -12,13 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions.text import query_tokens
 
 DIMENSION = 384
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Hashed words, scaled to length one; a null text has no vector."""
 
