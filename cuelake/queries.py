@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.plans import engine_queries, search_queries, star_queries, text_queries  # noqa: F401
+from cuelake.plans import engine_queries, more_queries, search_queries, star_queries, text_queries  # noqa: F401
 from cuelake.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
