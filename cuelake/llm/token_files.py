@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from cuelake.llm.common import scratch, slices
 
 MAGIC = b"S8BW0001"
-BLOCK = 1024
+BLOCK = 256
 #: Fixed by the format: ids and bits per id for selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -248,33 +248,37 @@ class ByteBpe:
         for i in range(0, len(odd), 1000):
             known.update(zip(odd[i : i + 1000], self._ids(odd[i : i + 1000])))
 
+    def _remember(self, chunks: set[str]) -> None:
+        if len(self.rest) + len(chunks) > CACHE_CHUNKS:  # the oldest half has the commonest
+            self.rest = dict(islice(self.rest.items(), CACHE_CHUNKS // 2))
+        fresh: dict[str, bytes] = {}
+        self._learn([c if c[0] == "\n" else " " + c for c in chunks], fresh)
+        self.rest.update((c if c[0] == "\n" else c[1:], x) for c, x in fresh.items())
+
     def encode(self, texts: list) -> list[bytes]:
         if not hasattr(self, "newline"):
             self.newline = self._ids(["\n"])[0]
-        whole, split, wanted, starts = [], [], set(), set()
-        rest = self.rest
+        whole, out = [], []
         for i, text in enumerate(texts):
             if not text:
-                split.append(())
+                out.append(b"")
             elif self.odd(text) or any(s in text for s in self.special):
-                split.append(None)
+                out.append(b"")
                 whole.append(i)
             else:
-                chunks = text.replace("\n", " \n").split(" ")
-                split.append(chunks)
-                starts.add(chunks[0])
-                wanted.update(c for c in chunks[1:] if c not in rest)
-        if len(rest) + len(wanted) > CACHE_CHUNKS:  # the oldest half has the commonest
-            rest = self.rest = dict(islice(rest.items(), CACHE_CHUNKS // 2))
-            wanted = {c for chunks in split if chunks for c in chunks[1:] if c not in rest}
-        if wanted:
-            fresh: dict[str, bytes] = {}
-            self._learn([c if c[0] == "\n" else " " + c for c in wanted], fresh)
-            rest.update((c if c[0] == "\n" else c[1:], x) for c, x in fresh.items())
-        first: dict[str, bytes] = {}
-        self._learn(starts, first)
-        direct = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
-        return [direct[i] if c is None else first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) if c else b"" for i, c in enumerate(split)]
+                head, *chunks = text.replace("\n", " \n").split(" ")
+                parts = list(map(self.rest.get, chunks))
+                if None in parts:
+                    self._remember({c for c, p in zip(chunks, parts) if p is None})
+                    rest = self.rest
+                    parts = [rest[c] if p is None else p for c, p in zip(chunks, parts)]
+                first: dict[str, bytes] = {}
+                self._learn([head], first)
+                out.append(first[head] + b"".join(parts))
+        if whole:
+            for i, x in zip(whole, self._ids([texts[i] for i in whole])):
+                out[i] = x
+        return out
 
 
 def tokenizer(raw: str) -> ByteBpe:
