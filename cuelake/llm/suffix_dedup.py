@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from cuelake.llm.common import slices, stored
 from cuelake.llm.induced import repeated
 
-LENGTH, ANCHOR = 400, 32
-SHARD, HOT = 8_000_000, 512
+LENGTH, ANCHOR = 400, 128
+SHARD, HOT = 2_000_000, 512
 #: Bytes of a document that are anchored at a time.
 CHUNK = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +46,7 @@ def runs(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR):
     out = []
     for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
         x = np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - at), at).astype(np.uint64) + np.uint64(1)
-        h, w, power = x, 1, BASE
+        h, w, power = x, 1, np.full(1, BASE)
         while w < anchor:  # polynomial hashes of 2, 4, 8 ... bytes
             h = h[:-w] * power + h[w:]
             power, w = power * power, 2 * w
@@ -188,10 +188,10 @@ def count_windows(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """docs: rid, text. rid, found: array of (start, spans), stretches to remove relative to start."""
     every = stored(find_runs(docs, length), "runs")
-    distinct = stored(every.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "len")).alias("at")), "contents")
+    distinct = stored(every.groupBy("key", "content").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "start", "len")]), "contents")
     keys = stored(distinct.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("total")).where("total > 1"), "anchors")
     shared = distinct.join(keys.select("key", "contents"), "key")
-    different = stored(_with_bytes(shared.where("contents > 1").select("key", "content", "n", "contents", "at.rid", "at.start", "at.len"), docs), "different")
+    different = stored(_with_bytes(shared.where("contents > 1").select("key", "content", "n", "contents", "rid", "start", "len"), docs), "different")
     found = sort_shards(different.where(F.col("contents") <= hot), length, shard)
     if different.where(F.col("contents") > hot).limit(1).count():
         found = found.union(count_windows(different.where(F.col("contents") > hot), length))
