@@ -14,7 +14,6 @@ the end id.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -40,6 +39,8 @@ TAIL = struct.Struct("<QQQQ8s")
 #: Chunks that a worker remembers the ids of.
 CACHE_CHUNKS = 700_000
 END_ID = 0
+#: White space besides the space and the line break.
+RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 PUNCTUATION = ".,;:!?|$%&*#"
 
 
@@ -219,7 +220,6 @@ class ByteBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
         self.letters = {x: chr(256 + i) for i, x in enumerate(hidden)}
-        self.odd = re.compile(r"\s\s|\s\Z|[\x1c-\x1f\x85]|\A\s").search
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -262,11 +262,12 @@ class ByteBpe:
         for i, text in enumerate(texts):
             if not text:
                 out.append(b"")
-            elif self.odd(text) or any(s in text for s in self.special):
-                out.append(b"")
+                continue
+            head, *chunks = text.replace("\n", " \n").split(" ")
+            if not head or "" in chunks or "\n" in chunks or any(c in text for c in RARE) or any(s in text for s in self.special):
+                out.append(b"")  # white space in a row, at an end or of another kind
                 whole.append(i)
             else:
-                head, *chunks = text.replace("\n", " \n").split(" ")
                 parts = list(map(self.rest.get, chunks))
                 if None in parts:
                     self._remember({c for c, p in zip(chunks, parts) if p is None})
