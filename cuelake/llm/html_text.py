@@ -169,9 +169,11 @@ def _grammar(rng) -> tuple[list[tuple[str, bool]], str]:
             lambda: f"<footer><p>&copy; {s}</p></footer>", lambda: f"<footer>&copy; {word()}.example.com &middot; {s}</footer>", lambda: wrap(("footer", "copyright", "legal", "colophon"), s),
             lambda: f"<aside><h3>{say(1, 4)}</h3><ul>{links()}</ul></aside>", lambda: f"<aside><p>{say(5, 40)}</p></aside>", lambda: wrap(("sidebar", "widget", "related", "recommended", "promo", "share", "social", "tags"), f"<h4>{say(1, 4)}</h4><p>{s}</p>"),
             lambda: wrap(("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "banner-ad"), pick(s, f"<p>{say(5, 40)}</p>")),
-            lambda: wrap(("cookie", "notice", "consent", "alert", "popup", "modal", "newsletter", "subscribe", "disclaimer", "cookie-notice", "cookie-banner"), f"<p>{say(4, 30)}</p><button>{word()}</button>"),
+            lambda: wrap(("cookie", "notice", "consent", "alert", "popup", "modal", "newsletter", "subscribe", "disclaimer", "cookie-notice", "cookie-banner", "gdpr", "announcement"), f"<p>{say(4, 30)}</p><button>{word()}</button>"),
             lambda: f"<form action='/s'><label>{word()}</label><input name='q'><select><option>{word()}<option>{word()}</select><button>{word()}</button></form>",
             lambda: wrap(("comments", "comment", "comment-list", "replies", "discussion", "disqus"), "".join(f"<div class='comment'><b>{word()}</b><p>{say(5, 50)}</p></div>" for _ in range(int(rng.integers(1, 5))))),
+            lambda: f"<section id='{pick('comments', 'newsletter', 'related', 'sponsored')}'><h2>{say(1, 3)}</h2><p>{say(5, 40)}</p></section>", lambda: f"<dialog open><p>{say(4, 30)}</p></dialog>",
+            lambda: f"<form class='{word()}'><p>{say(3, 20)}</p><textarea></textarea></form>", lambda: f"<div role='{pick('banner', 'navigation', 'complementary', 'contentinfo', 'alert', 'search')}'><p>{say(3, 30)}</p></div>",
             lambda: f"<section class='comments'><h2>{say(1, 3)}</h2><ol><li><p>{say(5, 50)}</p></li></ol></section>",
         )()
 
@@ -184,18 +186,22 @@ def _grammar(rng) -> tuple[list[tuple[str, bool]], str]:
             p.append(pick(lambda: f"<p>{s}</p>", lambda: f"<p>{s}", lambda: f"<p><b>{s}<br>", lambda: f"<p>{s}</p>", lambda: f"<h2>{say(2, 8)}</h2><p>{s}</p>", lambda: f"<ul><li>{say(3, 20)}</li><li>{say(3, 20)}</li></ul>", lambda: f"<blockquote>{s}</blockquote>", lambda: f"<p class='{word()}'>{s}</p>", lambda: f"<pre>{s}</pre>", lambda: f"<table><tr><td>{say(2, 9)}</td><td>{say(1, 5)}</td></tr></table>", lambda: f"<div>{s}</div>", lambda: f"<figure><figcaption>{say(3, 12)}</figcaption></figure>")())
         return p
 
+    outer = pick(("", ""), ("", ""), ('<div id="page">', "</div>"), ('<div class="wrapper"><div class="container">', "</div></div>"), (f'<div class="{word()}">', "</div>"))
     content = body()
     marked, mix = [], []
     for x in content:
         marked.append((x, True))
         if rng.random() < 0.12:
             marked.append((junk(), False))
-    opening, closing = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="article">', "</div>"), ('<div class="post-body">', "</div>"), ('<div class="entry-content">', "</div>"), ('<div role="main">', "</div>"), ("<section>", "</section>"))
+    opening, closing = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="article">', "</div>"), ('<div class="post-body">', "</div>"), ('<div class="entry-content">', "</div>"), ('<div role="main">', "</div>"), ("<section>", "</section>"), ("<div>", "</div>"), (f'<div class="{word()}">', "</div>"), (f'<div id="{word()}-{word()}">', "</div>"), ('<div class="story text">', "</div>"), ('<section class="post"><div class="body">', "</div></section>"))
+    if rng.random() < 0.15:
+        closing = ""  # left open
     for _ in range(int(rng.integers(1, 4))):
         mix.append((junk(), False))
     mix += [(opening, None), *marked, (closing, None)]
     for _ in range(int(rng.integers(1, 4))):
         mix.append((junk(), False))
+    mix = [(outer[0], None), *mix, (outer[1], None)]
     return mix, "<html><head><title>x</title></head><body>" + "".join(x for x, _ in mix) + "</body></html>"
 
 
@@ -261,7 +267,7 @@ class BiLstm:
                 out[i] = p[: len(rows[i]), j]
         return out
 
-    def train(self, pages: int = 1500, epochs: int = 4, batch: int = 30, rate: float = 0.012, seed: int = 11) -> None:
+    def train(self, pages: int = 2600, epochs: int = 5, batch: int = 30, rate: float = 0.012, seed: int = 11) -> None:
         rng, h = np.random.default_rng(seed), HIDDEN
         data = [e for e in (_example(rng) for _ in range(pages)) if len(e[0])]
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
