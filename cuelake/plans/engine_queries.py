@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as X
 from cuelake.operators import chunking as C
 from cuelake.operators import incremental as I
-from cuelake.operators import metadata as M
 from cuelake.operators import usage as U
-from cuelake.plans.search_queries import docs, near, questions
+from cuelake.plans.search_queries import KNN, near
 from cuelake.registry import query, table
 from cuelake.sources import vtt as V
 
@@ -222,7 +221,7 @@ def failure_rate(spark, sf_dir):
     return U.failure_rate(usage(spark, sf_dir), 20, 0.1)
 
 
-@query("WITH " + __import__("cuelake.plans.search_queries", fromlist=["KNN"]).KNN + " SELECT query_id, CAST(label AS BIGINT) AS video_id, max(score) AS score, list(doc_id ORDER BY kn.rank) AS docs, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, min(doc_id)) AS INTEGER) AS place FROM kn JOIN embeddings ON vec_id = doc_id WHERE kn.rank <= 10 GROUP BY query_id, label")
+@query("WITH " + KNN + " SELECT query_id, CAST(label AS BIGINT) AS video_id, max(score) AS score, list(doc_id ORDER BY kn.rank) AS docs, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, min(doc_id)) AS INTEGER) AS place FROM kn JOIN embeddings ON vec_id = doc_id WHERE kn.rank <= 10 GROUP BY query_id, label")
 def group_by_video(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("video_id"))
     g = U.by_video(near(spark, sf_dir, 10).join(v, "doc_id"))
