@@ -44,11 +44,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", ski
     passes on its k best, so that the shuffle carries k rows a query and task. Metrics: cosine, dot, euclid (negated).
     """
     out = None
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    kinds = {n: "string" if dict(d.dtypes)[n] == "string" else "long" for d, n in ((queries, "query_id"), (base, "doc_id"))}
+    arrow = {n: pa.string() if k == "string" else pa.int64() for n, k in kinds.items()}
+    schema = pa.schema([("query_id", arrow["query_id"]), ("doc_id", arrow["doc_id"]), ("score", pa.float64())])
+    ddl = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
     n = queries.count()
     for i in range(max(1, -(-n // BLOCK))):
         block = queries if n <= BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == i)
-        rows = block.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null").collect()
+        rows = block.select(F.col("query_id").cast(kinds["query_id"]), "embedding").where("embedding is not null").collect()
         if not rows:
             continue
         ids, q = np.array([r.query_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
@@ -58,7 +61,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", ski
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                docs = batch.column(0).to_numpy(zero_copy_only=False)
+                docs = np.array(batch.column(0).to_pylist())
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
                 s = q @ x.T
                 if metric == "cosine":
@@ -72,12 +75,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", ski
                 for j in range(len(ids)):
                     near = np.lexsort((docs, -s[j]))[:m]
                     near = near[np.isfinite(s[j][near])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[j])), pa.array(docs[near]), pa.array(s[j][near])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[j].item()] * len(near), arrow["query_id"]), pa.array(docs[near].tolist(), arrow["doc_id"]), pa.array(s[j][near])], schema=schema)
 
-        part = base.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding").mapInArrow(task, "query_id long, doc_id long, score double")
+        part = base.where("embedding is not null").select(F.col("doc_id").cast(kinds["doc_id"]), "embedding").mapInArrow(task, ddl)
         out = part if out is None else out.union(part)
     if out is None:
-        return top_k(queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k)
+        return top_k(queries.sparkSession.createDataFrame([], ddl), k)
     return top_k(out, k)
 
 
