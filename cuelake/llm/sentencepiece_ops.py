@@ -250,25 +250,28 @@ class PieceModel:
             shown = (" " * self.dummy + text).replace(MARK, " ").replace("\n", " \n")
             if self.dummy and "  " not in shown and shown[-1] != " ":
                 keys = shown[1:].split(" ")
-                split.append(keys)
-                wanted.update(k for k in keys if k not in cache)
+                parts = list(map(cache.get, keys))
+                if None in parts:
+                    wanted.update(k for k, p in zip(keys, parts) if p is None)
+                    split.append((keys, parts))
+                else:
+                    split.append(b"".join(parts))
             else:
                 split.append(shown.replace(" \n", "\n").replace(" ", MARK))
-        if len(cache) + len(wanted) > CACHE_WORDS:  # the oldest half has the commonest
-            cache = self._cache = dict(islice(cache.items(), CACHE_WORDS // 2))
-            wanted = {k for keys in split if isinstance(keys, list) for k in keys if k not in cache}
         if wanted:
+            if len(cache) + len(wanted) > CACHE_WORDS:  # the oldest half has the commonest
+                cache = self._cache = dict(islice(cache.items(), CACHE_WORDS // 2))
             self._learn(wanted)
         out = []
-        for keys in split:
-            if keys is None:
-                out.append(b"")
-            elif isinstance(keys, list):
-                out.append(b"".join(map(cache.__getitem__, keys)))
-            else:
-                words = re.findall(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+", keys)
+        for x in split:
+            if isinstance(x, tuple):
+                out.append(b"".join([cache[k] if p is None else p for k, p in zip(*x)]))
+            elif isinstance(x, str):
+                words = re.findall(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+", x)
                 found = self.encode_words(set(words))
                 out.append(array("I", [i for w in words for i in found[w]]).tobytes())
+            else:
+                out.append(x or b"")
         return out
 
     def decode(self, ids: bytes) -> str:
