@@ -168,7 +168,7 @@ def _passes(text, kinds, runs, seeds, seed_lcp, cap, budget, prefixes, mark=None
             turned = np.concatenate([[carried], lcp[:0:-1]]).astype(np.uint16)
             carried = lcp[0]
             visit(pos[::-1], turned)
-    return np.concatenate(out)[::-1] if out else np.zeros(0, np.int64)
+    return np.concatenate(out)[::-1] if out else np.zeros(0, seeds.dtype)
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -219,11 +219,12 @@ def repeated(text: np.ndarray, cap: int, budget: int = BUDGET) -> np.ndarray:
     change = np.flatnonzero(body[1:] != body[:-1])
     ends = np.concatenate([change, [n - 1]])
     sizes = np.diff(np.concatenate([[-1], ends]))
-    runs = (np.repeat(ends, sizes) - np.arange(n) + 1).astype(np.int64)
+    kind = np.int32 if n < 2**31 else np.int64
+    runs = (np.repeat(ends, sizes) - np.arange(n) + 1).astype(kind)
     after = t[np.repeat(ends, sizes) + 1]
     kinds = after > body  # S-suffixes
     kinds[n - 1] = True
-    lms = np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1
+    lms = (np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1).astype(kind)
     mark = np.zeros(n, bool)
     if len(lms) < 2:
         seeds, seed_lcp = lms, np.zeros(len(lms), np.uint16)
@@ -232,7 +233,8 @@ def repeated(text: np.ndarray, cap: int, budget: int = BUDGET) -> np.ndarray:
         order = _passes(body, kinds, runs, loose, np.zeros(len(loose), np.uint16), cap, budget, False)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        sorted_lms = np.concatenate([[n - 1], order[is_lms[order]]])
+        sorted_lms = np.concatenate([np.array([n - 1], kind), order[is_lms[order]]])
+        del order
         index = np.empty(n, np.int64)
         index[lms] = np.arange(len(lms))
         length = np.diff(np.concatenate([lms, [n]])) + 1  # with the first byte of the next

@@ -5,8 +5,8 @@ equal anchors, so the runs of windows that share an anchor can be dealt out by i
 one shard, and anchors that occur once are done. Equal runs are counted and kept once. The different runs of an anchor
 are joined, with separators, to shards of about SHARD bytes, whose suffixes are sorted with their common prefixes by
 external induced sorting (module induced); a window is repeated if it shares LENGTH bytes with a neighbour in the order.
-An anchor with more than HOT different runs would outgrow a shard: its windows are counted by 128-bit digests instead,
-dealt out by those.
+An anchor with more than HOT different runs would outgrow a shard: pieces of its runs, down to single windows, are
+counted by 128-bit digests instead, dealt out by those.
 
 Matches are of bytes, never across documents, and judged on the input. Null texts count as empty. Repeated rows are
 documents of their own. A null doc_id is kept as it is.
@@ -25,7 +25,7 @@ from cuelake.llm.common import slices, stored
 from cuelake.llm.induced import repeated
 
 LENGTH, ANCHOR = 400, 128
-SHARD, HOT = 2_000_000, 512
+SHARD, HOT = 1_000_000, 512
 #: Bytes of a document that are anchored at a time.
 CHUNK = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,18 +41,23 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return have
 
 
+def _hashes(x: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all strings of a width, a power of two."""
+    h, w, power = x.astype(np.uint64) + np.uint64(1), 1, np.full(1, BASE)
+    while w < width:  # polynomials of 2, 4, 8 ... bytes
+        h = h[:-w] * power + h[w:]
+        power, w = power * power, 2 * w
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
 def runs(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR):
     """(start, end, anchor hash) of the runs of windows that share an anchor; end: where their last window ends."""
     out = []
     for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
-        x = np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - at), at).astype(np.uint64) + np.uint64(1)
-        h, w, power = x, 1, np.full(1, BASE)
-        while w < anchor:  # polynomial hashes of 2, 4, 8 ... bytes
-            h = h[:-w] * power + h[w:]
-            power, w = power * power, 2 * w
-        h = h * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h = _hashes(np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - at), at), anchor)
         low = _slide((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), length - anchor + 1)
         place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -164,25 +169,64 @@ def sort_shards(cut: DataFrame, length: int = LENGTH, shard: int = SHARD) -> Dat
     return cut.select("key", "content", "n", "raw").repartition("key").sortWithinPartitions("key", "content").mapInArrow(task, FOUND)
 
 
+def _anchor(raw: bytes, key: int) -> int:
+    """Where a run's anchor is: the first string with its hash."""
+    return int(np.flatnonzero(_hashes(np.frombuffer(raw, np.uint8), ANCHOR).view(np.int64) == key)[0])
+
+
 def count_windows(cut: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for anchors with too many different runs, by counting digests of all their windows."""
-    schema = T.StructType([*FOUND.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())])
+    """The same for anchors with too many different runs, by digests dealt out on their own.
 
-    def windows(batches):
-        for batch in batches:
-            for key, content, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                m = len(raw) - length + 1
-                digests = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(m)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.int64()), pa.array([content] * m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array([n] * m, pa.int64()), pa.array(digests, pa.binary())], schema.fieldNames())
+    Equal windows lie alike to their anchor, so runs are cut at fixed distances from it. The bytes that all windows of
+    such a block have in common, its core, tell whether any of them can be repeated: a core that occurs once is done.
+    Equal pieces are repeated in whole. The others are cut finer, down to single windows; of equal ones, one goes along
+    for the others to match. A passage that many documents share costs a few rows per document, not one per window.
+    """
+    schema = T.StructType([*FOUND.fields[:2], T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("rel", T.IntegerType()), T.StructField("raw", T.BinaryType()), T.StructField("solved", T.BooleanType())])
+    cut_schema = T.StructType([*schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("core", T.BinaryType())])
 
-    def join(batches):
+    def start(batches):
+        for batch in batches:
+            key, content, n, raw = (batch.column(i).to_pylist() for i in range(4))
+            rel = [_anchor(r, k) for k, r in zip(key, raw)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([0] * len(n), pa.int32()), pa.array(rel, pa.int32()), batch.column(3), pa.array([False] * len(n))], schema.fieldNames())
+
+    def cutter(width):
+        def task(batches):
+            for batch in batches:
+                out = [[] for _ in cut_schema]
+                for key, content, n, at, rel, raw, solved in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                    blocks = (rel - np.arange(len(raw) - length + 1)) // width
+                    cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+                    for i, j in zip(cuts, cuts[1:]):
+                        piece, low = raw[i : j - 1 + length], int(blocks[i]) * width
+                        core = raw[rel - low : rel - low - width + 1 + length]
+                        for values, v in zip(out, (key, content, n, at + i, rel - i, piece, solved, xxhash.xxh3_128_digest(piece), xxhash.xxh3_128_digest(core))):
+                            values.append(v)
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], cut_schema.fieldNames())
+
+        return task
+
+    def pack(batches):
         for batch in batches:
-            spans = [_packed(_merged(np.array(sorted(x)), length)) for x in batch.column(2).to_pylist()]
+            spans = [_packed([(s["at"], s["at"] + s["len"]) for s in found]) for found in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary())], FOUND.fieldNames())
 
-    every = stored(cut.select("key", "content", "n", "raw").mapInArrow(windows, schema), "windows")
-    often = stored(every.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"), "often")
-    return every.join(often, "digest").groupBy("key", "content").agg(F.collect_list("at").alias("at")).mapInArrow(join, FOUND)
+    pending, done = cut.select("key", "content", "n", "raw").mapInArrow(start, schema), None
+    for width in (64, 16, 4, 1):
+        pieces = stored(pending.mapInArrow(cutter(width), cut_schema), "pieces")
+        if width > 1:  # a single window is its own core
+            cores = stored(pieces.groupBy("core").agg(F.sum("n").alias("total")).where("total > 1").select("core"), "cores")
+            pieces = stored(pieces.join(cores, "core", "left_semi").select(*cut_schema.fieldNames()), "pieces")
+        often = stored(pieces.groupBy("digest").agg(F.sum("n").alias("total"), F.min(F.struct("content", "at")).alias("first")).where("total > 1").select("digest", "first"), "often")
+        judged = stored(pieces.join(often, "digest", "left").drop("digest", "core"), "judged")
+        again = judged.where("first is not null and not solved").select("key", "content", "at", F.length("raw").alias("len"))
+        done = again if done is None else done.union(again)
+        names = schema.fieldNames()
+        one = judged.where((F.col("first.content") == F.col("content")) & (F.col("first.at") == F.col("at"))).withColumn("solved", F.lit(True)).withColumn("n", F.lit(2).cast("long"))
+        pending = judged.where("first is null and not solved").select(*names).union(one.select(*names))
+    return done.groupBy("key", "content").agg(F.collect_list(F.struct("at", "len")).alias("found")).mapInArrow(pack, FOUND)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
