@@ -64,14 +64,14 @@ def condition_summary(results: DataFrame) -> DataFrame:
     valid = results.withColumn("t", time)
     ranked = valid.withColumn("r", F.row_number().over(W.partitionBy("condition_id").orderBy(F.col("t").asc_nulls_last()))).withColumn("n", F.count("t").over(W.partitionBy("condition_id")))
     return ranked.groupBy("condition_id").agg(
-        F.percentile("t", 0.5).alias("latency_p50"), F.max(F.when(F.col("r") == F.ceil(F.col("n") * 0.95), F.col("t"))).alias("latency_p95"), F.round(F.avg("t"), 6).alias("latency_mean"),
+        F.round(F.percentile("t", 0.5), 6).alias("latency_p50"), F.max(F.when(F.col("r") == F.ceil(F.col("n") * 0.95), F.col("t"))).alias("latency_p95"), F.round(F.avg("t"), 6).alias("latency_mean"),
         F.round(F.avg(F.when(good, F.col("rouge_l"))), 6).alias("rouge_l"), F.count_if(good).alias("num_queries"), F.count_if(~good).alias("num_errors"),
     )
 
 
 def stage_latency(stages: DataFrame) -> DataFrame:
     """stages: condition_id, stage, elapsed. Interpolated p50 and p95 and the mean of each stage; stages that were not measured stay null."""
-    return stages.groupBy("condition_id", "stage").agg(F.percentile("elapsed", 0.5).alias("p50"), F.percentile("elapsed", 0.95).alias("p95"), F.round(F.avg("elapsed"), 6).alias("mean"))
+    return stages.groupBy("condition_id", "stage").agg(F.round(F.percentile("elapsed", 0.5), 6).alias("p50"), F.round(F.percentile("elapsed", 0.95), 6).alias("p95"), F.round(F.avg("elapsed"), 6).alias("mean"))
 
 
 def bar_points(metrics: DataFrame, first: str, second: str) -> DataFrame:

@@ -132,13 +132,13 @@ def manifest_classify(spark, sf_dir):
     return I.classify_files(manifest(spark, sf_dir), file_state(spark, sf_dir))
 
 
-@query(f"SELECT path, CASE WHEN state = 'unchanged' THEN [CAST(doc_id AS VARCHAR)] ELSE [concat('n', doc_id)] END AS doc_ids FROM ({STATES}) WHERE state = 'unchanged' OR (state IN ('new', 'modified') AND doc_id % 13 <> 0)")
+@query(f"SELECT path, CASE WHEN state = 'unchanged' THEN CAST(doc_id AS VARCHAR) ELSE concat('n', doc_id) END AS doc_ids FROM ({STATES}) WHERE state = 'unchanged' OR (state IN ('new', 'modified') AND doc_id % 13 <> 0)")
 def manifest_update(spark, sf_dir):
     """A file that yields no documents gets no entry."""
     files = file_state(spark, sf_dir)
     made = files.where("doc_id % 13 <> 0").select("path", F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("doc_id"))
     old = manifest(spark, sf_dir)
-    return I.updated_manifest(old, I.classify_files(old, files), files, made).select("path", "doc_ids")
+    return I.updated_manifest(old, I.classify_files(old, files), files, made).select("path", F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 10 = 1 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 10 <> 0")
@@ -181,10 +181,10 @@ def latest_wins(spark, sf_dir):
     return I.latest(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
-@query("SELECT concat('/x/', source) AS path, coalesce(list_sort(list(CAST(doc_id AS VARCHAR)) FILTER (WHERE doc_id % 2 = 0)), []) AS doc_ids FROM documents GROUP BY source")
+@query("SELECT concat('/x/', source) AS path, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) FILTER (WHERE doc_id % 2 = 0), '') AS doc_ids FROM documents GROUP BY source")
 def manifest_rebuild(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("/x/"), "source").alias("path"), "doc_id")
-    return I.rebuilt_manifest(d.select("path").distinct(), d.where("doc_id % 2 = 0").select("path", F.col("doc_id").cast("string")), 1)
+    return I.rebuilt_manifest(d.select("path").distinct(), d.where("doc_id % 2 = 0").select("path", F.col("doc_id").cast("string")), 1).withColumn("doc_ids", F.array_join("doc_ids", ","))
 
 
 # --- Usage ------------------------------------------------------------------------------------------------------------
@@ -221,17 +221,17 @@ def failure_rate(spark, sf_dir):
     return U.failure_rate(usage(spark, sf_dir), 20, 0.1)
 
 
-@query("WITH " + KNN + " SELECT query_id, CAST(label AS BIGINT) AS video_id, max(score) AS score, list(doc_id ORDER BY kn.rank) AS docs, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, min(doc_id)) AS INTEGER) AS place FROM kn JOIN embeddings ON vec_id = doc_id WHERE kn.rank <= 10 GROUP BY query_id, label")
+@query("WITH " + KNN + " SELECT query_id, CAST(label AS BIGINT) AS video_id, max(score) AS score, string_agg(doc_id, ',' ORDER BY kn.rank) AS docs, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, min(doc_id)) AS INTEGER) AS place FROM kn JOIN embeddings ON vec_id = doc_id WHERE kn.rank <= 10 GROUP BY query_id, label")
 def group_by_video(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("video_id"))
     g = U.by_video(near(spark, sf_dir, 10).join(v, "doc_id"))
-    return g.select("query_id", "video_id", "score", F.transform("hits", lambda h: h["doc_id"]).alias("docs"), "place")
+    return g.select("query_id", "video_id", "score", F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), ",").alias("docs"), "place")
 
 
-@query("SELECT min(d) AS first_day, max(d) AS last_day FROM (SELECT CASE WHEN doc_id % 9 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 45 AS INTEGER) AS DATE) END AS d FROM documents)")
+@query("SELECT strftime(min(d), '%Y-%m-%d') AS first_day, strftime(max(d), '%Y-%m-%d') AS last_day FROM (SELECT CASE WHEN doc_id % 9 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 45 AS INTEGER) AS DATE) END AS d FROM documents)")
 def archive_date_range(spark, sf_dir):
     text = F.when(F.col("doc_id") % 9 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 45).cast("int")), "yyyy-MM-dd")).otherwise("unknown")
-    return table(spark, sf_dir, "documents").select(X.date_of(text).alias("d")).agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"))
+    return table(spark, sf_dir, "documents").select(X.date_of(text).alias("d")).agg(F.date_format(F.min("d"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("last_day"))
 
 
 @query("SELECT lang, source, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY lang, source QUALIFY row_number() OVER (PARTITION BY source ORDER BY sum(n_chars) DESC, lang) = 1")
@@ -250,28 +250,33 @@ def metric_name_collisions(spark, sf_dir):
     return d.select("name", "n", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("n").cast("string"))).alias("unique_name"))
 
 
+def shown(df):
+    """Window starts as text, which compares alike everywhere."""
+    return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 # --- Streams ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
     from cuelake.streaming import windows as S
 
-    return S.drained(S.tumbling(S.events(spark, sf_dir), "1 hour"))
+    return shown(S.drained(S.tumbling(S.events(spark, sf_dir), "1 hour")))
 
 
-@query("SELECT start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY start")
+@query("SELECT strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) t GROUP BY t.start")
 def stream_sliding(spark, sf_dir):
     from cuelake.streaming import windows as S
 
-    return S.drained(S.sliding(S.events(spark, sf_dir), "1 hour", "30 minutes"))
+    return shown(S.drained(S.sliding(S.events(spark, sf_dir), "1 hour", "30 minutes")))
 
 
-@query("WITH m AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, min(ts) AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
+@query("WITH m AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(spark, sf_dir):
     from cuelake.streaming import windows as S
 
-    return S.drained(S.sessions(S.events(spark, sf_dir), "2 hours"))
+    return shown(S.drained(S.sessions(S.events(spark, sf_dir), "2 hours")))
 
 
 @query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events) GROUP BY ALL")

@@ -20,12 +20,12 @@ def results(spark, sf_dir):
     return e.select(F.concat(F.lit("c"), (i % 8).cast("string")).alias("condition_id"), F.col("value").alias("elapsed_ms"), F.when(i % 3 == 0, (i % 10) / 10.0).alias("rouge_l"), F.when(F.col("event_type") == "error", "failed").alias("error"))
 
 
-@query(f"SELECT condition_id, quantile_cont(elapsed_ms, 0.5) FILTER (WHERE error IS NULL) AS latency_p50, quantile_disc(elapsed_ms, 0.95) FILTER (WHERE error IS NULL) AS latency_p95, round(avg(elapsed_ms) FILTER (WHERE error IS NULL), 6) AS latency_mean, round(avg(rouge_l) FILTER (WHERE error IS NULL), 6) AS rouge_l, CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS num_queries, CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS num_errors FROM ({RESULTS}) GROUP BY condition_id")
+@query(f"SELECT condition_id, round(quantile_cont(elapsed_ms, 0.5) FILTER (WHERE error IS NULL), 6) AS latency_p50, quantile_disc(elapsed_ms, 0.95) FILTER (WHERE error IS NULL) AS latency_p95, round(avg(elapsed_ms) FILTER (WHERE error IS NULL), 6) AS latency_mean, round(avg(rouge_l) FILTER (WHERE error IS NULL), 6) AS rouge_l, CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS num_queries, CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS num_errors FROM ({RESULTS}) GROUP BY condition_id")
 def condition_summary(spark, sf_dir):
     return E.condition_summary(results(spark, sf_dir))
 
 
-@query(f"SELECT condition_id, CASE WHEN error IS NULL THEN 'total' ELSE 'failed' END AS stage, quantile_cont(elapsed_ms, 0.5) AS p50, quantile_cont(elapsed_ms, 0.95) AS p95, round(avg(elapsed_ms), 6) AS mean FROM ({RESULTS}) GROUP BY ALL")
+@query(f"SELECT condition_id, CASE WHEN error IS NULL THEN 'total' ELSE 'failed' END AS stage, round(quantile_cont(elapsed_ms, 0.5), 6) AS p50, round(quantile_cont(elapsed_ms, 0.95), 6) AS p95, round(avg(elapsed_ms), 6) AS mean FROM ({RESULTS}) GROUP BY ALL")
 def stage_latency(spark, sf_dir):
     return E.stage_latency(results(spark, sf_dir).select("condition_id", F.when(F.col("error").isNull(), "total").otherwise("failed").alias("stage"), F.col("elapsed_ms").alias("elapsed")))
 

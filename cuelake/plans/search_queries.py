@@ -226,10 +226,10 @@ def metric_summary(spark, sf_dir):
     return metrics.summary(metrics.retrieval_metrics(near(spark, sf_dir, 10), label_qrels(vectors(spark, sf_dir), 40)))
 
 
-@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95_nearest, round(quantile_cont(value, 0.95), 6) AS p95_linear, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, quantile_disc(value, 0.95) AS p95_nearest, round(quantile_cont(value, 0.95), 6) AS p95_linear, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value is not null").select("event_type", F.col("value").alias("elapsed"))
-    return metrics.latency_summary(e, ("event_type",)).select("event_type", "p50", "p95_nearest", F.round("p95_linear", 6).alias("p95_linear"), F.round("mean", 6).alias("mean"))
+    return metrics.latency_summary(e, ("event_type",)).select("event_type", F.round("p50", 6).alias("p50"), "p95_nearest", F.round("p95_linear", 6).alias("p95_linear"), F.round("mean", 6).alias("mean"))
 
 
 PAIRS = "SELECT q.conv_id * 100 + q.turn AS query_id, q.text AS query, a.text AS answer, CASE q.conv_id % 5 WHEN 0 THEN 'mistral' WHEN 1 THEN 'openai' WHEN 2 THEN 'claude' WHEN 3 THEN 'gemini' ELSE 'none' END AS llm, CASE q.conv_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'mistral' ELSE 'openai' END AS embed FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'"

@@ -138,7 +138,7 @@ def timestamps(spark, sf_dir):
 @query(
     """SELECT item_id, CASE WHEN regexp_matches(q, '(^|[^\\p{L}\\p{N}_])(recent|recently|latest|last|new|current|today|yesterday|недавн|последн|новый|свежий|актуальн|сегодня|вчера)($|[^\\p{L}\\p{N}_])')
 OR regexp_matches(q, 'this week|this month|this year|на этой неделе|в этом месяце|в этом году') THEN 'recent' WHEN regexp_matches(q, '(^|[^\\p{L}\\p{N}_])20[0-9]{2}($|[^\\p{L}\\p{N}_])') THEN 'specific' ELSE 'none' END AS sensitivity,
-CASE WHEN item_id % 4 IN (0, 3) THEN DATE '2024-01-02' END AS date_from, CASE WHEN item_id % 4 IN (0, 3) THEN DATE '2024-02-01' END AS date_to
+CASE WHEN item_id % 4 IN (0, 3) THEN '2024-01-02' END AS date_from, CASE WHEN item_id % 4 IN (0, 3) THEN '2024-02-01' END AS date_to
 FROM (SELECT item_id, lower(concat(substr(text, 1, 30), CASE item_id % 4 WHEN 0 THEN ' latest news' WHEN 1 THEN ' in May 2023.' WHEN 2 THEN ' renewed недавно' ELSE ' THIS month' END)) AS q FROM benchmark)"""
 )
 def temporal_sensitivity(spark, sf_dir):
@@ -146,7 +146,7 @@ def temporal_sensitivity(spark, sf_dir):
     tail = F.when(k == 0, " latest news").when(k == 1, " in May 2023.").when(k == 2, " renewed недавно").otherwise(" THIS month")
     q = table(spark, sf_dir, "benchmark").select("item_id", X.time_sensitivity(F.concat(F.substring("text", 1, 30), tail)).alias("sensitivity"))
     a, b = X.recent_range(F.col("sensitivity"), F.lit("2024-02-01").cast("date"))
-    return q.select("item_id", "sensitivity", a.alias("date_from"), b.alias("date_to"))
+    return q.select("item_id", "sensitivity", F.date_format(a, "yyyy-MM-dd").alias("date_from"), F.date_format(b, "yyyy-MM-dd").alias("date_to"))
 
 
 URLS = "SELECT page_id, html, url, concat(CASE page_id % 3 WHEN 0 THEN upper(split_part(url, '/', 1)) ELSE split_part(url, '/', 1) END, substr(url, length(split_part(url, '/', 1)) + 1)) AS raw FROM pages"
@@ -238,11 +238,11 @@ def text_previews(spark, sf_dir):
     return d.select("doc_id", F.col("p.text").alias("preview"), "p.truncated", "words")
 
 
-@query("SELECT doc_id, [CAST(65 + doc_id % 10 AS INTEGER), CAST(3661 AS INTEGER)] AS seconds FROM documents")
+@query("SELECT doc_id, concat(65 + doc_id % 10, ',3661') AS seconds FROM documents")
 def cited_timecodes(spark, sf_dir):
     answer = F.concat(F.lit("At 1:0"), (F.col("doc_id") % 10 + 5).cast("string"), F.lit(" and 01:01:01, again 1:01:01"))
     answer = F.when(F.col("doc_id") % 10 >= 5, F.concat(F.lit("At 1:"), (F.col("doc_id") % 10 + 5).cast("string"), F.lit(" and 01:01:01"))).otherwise(answer)
-    return table(spark, sf_dir, "documents").select("doc_id", X.timecodes(answer).alias("seconds"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.timecodes(answer).cast("array<string>"), ",").alias("seconds"))
 
 
 @query("SELECT page_id, 'abc-1_x' AS sheet, CASE page_id % 3 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN '77' ELSE '0' END AS gid, concat('https://e.org/a\\(', CAST(page_id AS VARCHAR), '\\)') AS link, concat('a_b ', CAST(page_id AS VARCHAR)) AS file FROM pages")
@@ -322,9 +322,9 @@ def review_counters(spark, sf_dir):
     return d.agg(F.count_if("reviewed").alias("reviewed"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if(F.col("valid").isNull()).alias("undecided"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY s) AS INTEGER) AS part, CAST(s AS DATE) AS first_day, least(CAST(s AS DATE) + 179, DATE '2024-12-31') AS last_day FROM (SELECT unnest(generate_series(DATE '2022-03-01', DATE '2024-12-31', INTERVAL 180 DAY)) AS s)")
+@query("SELECT CAST(row_number() OVER (ORDER BY s) AS INTEGER) AS part, strftime(s, '%Y-%m-%d') AS first_day, strftime(least(CAST(s AS DATE) + 179, DATE '2024-12-31'), '%Y-%m-%d') AS last_day FROM (SELECT unnest(generate_series(DATE '2022-03-01', DATE '2024-12-31', INTERVAL 180 DAY)) AS s)")
 def export_ranges(spark, sf_dir):
     """Closed windows of 180 days between two dates."""
     a, b = F.lit("2022-03-01").cast("date"), F.lit("2024-12-31").cast("date")
     d = spark.range(1).select(F.posexplode(F.sequence(a, b, F.expr("INTERVAL 180 DAYS"))).alias("i", "first_day"))
-    return d.select((F.col("i") + 1).cast("int").alias("part"), "first_day", F.least(F.date_add("first_day", 179), b).alias("last_day"))
+    return d.select((F.col("i") + 1).cast("int").alias("part"), F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format(F.least(F.date_add("first_day", 179), b), "yyyy-MM-dd").alias("last_day"))
