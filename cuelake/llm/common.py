@@ -65,6 +65,17 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_CHARS) -> It
         yield batch.slice(start)
 
 
+def gaps(parts: list) -> list[int]:
+    """Where a list has None."""
+    out, i = [], -1
+    try:
+        while True:
+            i = parts.index(None, i + 1)
+            out.append(i)
+    except ValueError:
+        return out
+
+
 def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], dict]], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Adds columns computed from whole texts.
 

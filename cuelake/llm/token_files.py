@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import scratch, slices
+from cuelake.llm.common import gaps, scratch, slices
 
 MAGIC = b"S8BW0001"
 BLOCK = 256
+#: Ids that a writer gathers before it packs them.
+HELD = 3_000_000
 #: Fixed by the format: ids and bits per id for selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -137,18 +139,21 @@ class Writer:
         self.out = self.fs.open_output_stream(self.temp)
         self.out.write(MAGIC)
         self.sizes, self.ids, self.null, self.counts = [], [], [], []
-        self.rest = np.zeros(0, "<u4")
+        self.rest, self.held = [], 0
         self.n = 0
 
     def add(self, doc_ids: list, arrays: list[np.ndarray]) -> None:
         self.ids += [x or 0 for x in doc_ids]
         self.null += [x is None for x in doc_ids]
         self.counts += map(len, arrays)
-        ids = np.concatenate([self.rest, *arrays])
-        self.n += len(ids) - len(self.rest)
-        whole = len(ids) // BLOCK * BLOCK
-        self._pack(ids[:whole])
-        self.rest = ids[whole:]
+        self.rest += arrays
+        added = sum(map(len, arrays))
+        self.n, self.held = self.n + added, self.held + added
+        if self.held >= HELD:
+            ids = np.concatenate(self.rest)
+            whole = len(ids) // BLOCK * BLOCK
+            self._pack(ids[:whole])
+            self.rest, self.held = [ids[whole:]], len(ids) - whole
 
     def _pack(self, ids):
         if len(ids):
@@ -157,7 +162,7 @@ class Writer:
             self.sizes.append(sizes)
 
     def close(self) -> None:
-        self._pack(self.rest)
+        self._pack(np.concatenate([np.zeros(0, "<u4"), *self.rest]))
         sizes = np.concatenate([np.zeros(1, np.int64), *self.sizes])
         place = self.out.tell()
         for x, kind in ((np.cumsum(sizes), "<u8"), (self.ids, "<i8"), (self.null, "u1"), (self.counts, "<u8")):
@@ -214,6 +219,7 @@ class ByteBpe:
         self.tok = Tokenizer.from_str(raw)
         self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         # Fixed by byte-level BPE: printable bytes stand for themselves, the others for the characters from 256 on.
@@ -269,13 +275,16 @@ class ByteBpe:
                 whole.append(i)
             else:
                 parts = list(map(self.rest.get, chunks))
-                if None in parts:
-                    self._remember({c for c, p in zip(chunks, parts) if p is None})
-                    rest = self.rest
-                    parts = [rest[c] if p is None else p for c, p in zip(chunks, parts)]
-                first: dict[str, bytes] = {}
-                self._learn([head], first)
-                out.append(first[head] + b"".join(parts))
+                missing = gaps(parts)
+                if missing:
+                    self._remember({chunks[j] for j in missing})
+                    for j in missing:
+                        parts[j] = self.rest[chunks[j]]
+                if head not in self.first:
+                    if len(self.first) > 50_000:
+                        self.first.clear()
+                    self._learn([head], self.first)
+                out.append(self.first[head] + b"".join(parts))
         if whole:
             for i, x in zip(whole, self._ids([texts[i] for i in whole])):
                 out[i] = x
