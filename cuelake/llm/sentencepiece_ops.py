@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cuelake.llm.common import map_texts
+from cuelake.llm.common import gaps, map_texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -251,9 +251,10 @@ class PieceModel:
             if self.dummy and "  " not in shown and shown[-1] != " ":
                 keys = shown[1:].split(" ")
                 parts = list(map(cache.get, keys))
-                if None in parts:
-                    wanted.update(k for k, p in zip(keys, parts) if p is None)
-                    split.append((keys, parts))
+                missing = gaps(parts)
+                if missing:
+                    wanted.update([keys[i] for i in missing])
+                    split.append((keys, parts, missing))
                 else:
                     split.append(b"".join(parts))
             else:
@@ -265,7 +266,10 @@ class PieceModel:
         out = []
         for x in split:
             if isinstance(x, tuple):
-                out.append(b"".join([cache[k] if p is None else p for k, p in zip(*x)]))
+                keys, parts, missing = x
+                for i in missing:
+                    parts[i] = cache[keys[i]]
+                out.append(b"".join(parts))
             elif isinstance(x, str):
                 words = re.findall(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+", x)
                 found = self.encode_words(set(words))
