@@ -11,42 +11,51 @@ from cuelake.operators.ranking import top_k
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, term, tf: the narrow table that every search reads."""
-    terms = docs.select("doc_id", F.explode(corpus_tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def _tokens(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", corpus_tokens(F.col("text")).alias("tokens"))
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(corpus_tokens(F.col("text"))).cast("long").alias("dl"))
+def postings(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. doc_id, dl, term, tf of all terms: the table to store where many searches follow."""
+    terms = _tokens(docs).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n_docs, avgdl."""
-    return doc_lengths(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return _tokens(docs).agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, df. Each document counts a term once before the shuffle, which then carries sums per term."""
+    return _tokens(docs).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def inverse_frequencies(posts: DataFrame, stats: DataFrame) -> DataFrame:
+def inverse_frequencies(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf. Negative values become a share of the mean over the whole vocabulary, negative ones included."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats.select("n_docs"))).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row of statistics
+    raw = frequencies.join(F.broadcast(stats.select("n_docs"))).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row of statistics
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int, posts: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, k: int, posts: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
     """queries: query_id, text. query_id, doc_id, score, rank of the k best documents each; documents without a match score 0 and still rank.
 
-    Only the postings of query terms are joined; of documents without a match no more than k can show, the first by id.
+    Words of documents meet the queries' words before they are counted, so that only matching ones are shuffled; stored
+    postings and idf tables may take their place. Of documents without a match no more than k can show, the first by id.
     """
-    posts = posts if posts is not None else postings(docs)
     stats = corpus_stats(docs)
-    idf = inverse_frequencies(posts, stats)
+    idf = idf if idf is not None else inverse_frequencies(document_frequencies(docs), stats)
     asked = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(idf.select("term", "idf"), "term").join(posts, "term").join(doc_lengths(docs), "doc_id").join(F.broadcast(stats.select("avgdl")))
+    wanted = asked.select("term").distinct()
+    if posts is None:
+        words = _tokens(docs).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+        posts = words.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    weighted = idf.select("term", "idf").join(wanted, "term", "left_semi")
+    hits = asked.join(weighted, "term").join(posts, "term").join(F.broadcast(stats.select("avgdl")))
     tf = F.col("tf").cast("double")
     weight = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    matched = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     first = docs.select("doc_id").orderBy("doc_id").limit(k)  # k rows
-    filler = queries.select("query_id").distinct().join(F.broadcast(first)).join(matched, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
-    return top_k(matched.unionByName(filler), k)
+    filler = queries.select("query_id").distinct().join(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("weight"))
+    every = hits.select("query_id", "doc_id", weight.alias("weight")).unionByName(filler)
+    return top_k(every.groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score")), k)

@@ -132,3 +132,28 @@ def source_videos(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(i.cast("string").alias("video_hash"))
     videos = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(i.cast("string").alias("video_hash"), F.lit("a.mp4").alias("name"), (i * 3600 + 1704067200).cast("double").alias("mtime"), (i * 1.5).cast("double").alias("duration_seconds"))
     return M.source_videos(files, videos).select("video_hash", "date", "duration_seconds")
+
+
+@query("SELECT page_id, concat('https://***@h.org/a?token=***&n=', page_id) AS shown FROM pages")
+def redacted_urls(spark, sf_dir):
+    url = F.concat(F.lit("https://user:pw@h.org/a?token="), F.md5("url"), F.lit("&n="), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", X.redact(url).alias("shown"))
+
+
+@query("SELECT doc_id, CAST(5 AS INTEGER) AS top_k, CASE WHEN doc_id % 2 = 0 THEN 'hyde_alpha' END AS axis, CASE WHEN doc_id % 2 = 0 THEN lang END AS note FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0")
+def experiment_runs(spark, sf_dir):
+    """Runs of two experiments with different columns, one top_k, one axis."""
+    from cuelake.sources.readers import runs
+
+    d = table(spark, sf_dir, "documents").withColumn("top_k", F.when(F.col("doc_id") % 3 == 0, 5).otherwise(10))
+    a = d.where("doc_id % 2 = 0").select("doc_id", "top_k", F.lit("hyde_alpha").alias("axis"), F.col("lang").alias("note"))
+    return runs(a, d.where("doc_id % 2 = 1").select("doc_id", "top_k"), top_k=5, axis="hyde_alpha")
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE quality = 1) AS BIGINT) AS good, CAST(count(*) FILTER (WHERE quality IS DISTINCT FROM 1) AS BIGINT) AS failed FROM labels")
+def split_failures(spark, sf_dir):
+    from cuelake.sources.sinks import split_errors
+
+    r = table(spark, sf_dir, "labels").select(F.struct(F.col("doc_id").alias("value"), F.when(F.coalesce(F.col("quality"), F.lit(0)) != 1, "bad").alias("error")).alias("result"))
+    good, failed = split_errors(r)
+    return good.agg(F.count("*").alias("good")).join(failed.agg(F.count("*").alias("failed")))

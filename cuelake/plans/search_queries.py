@@ -35,7 +35,7 @@ bm AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY quer
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return bm25.inverse_frequencies(bm25.postings(d), bm25.corpus_stats(d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.inverse_frequencies(bm25.document_frequencies(d), bm25.corpus_stats(d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10")
