@@ -26,13 +26,15 @@ from cuelake.llm.common import map_texts
 TAG_COLS, WORD_COLS, PLAIN_COLS = 160, 48, 8
 COLS = TAG_COLS + WORD_COLS + PLAIN_COLS
 HIDDEN = 16
+#: Labels of a path that are read, and open elements that an end tag may close at once.
+PATH, DEEPEST = 24, 512
 #: Fixed by HTML: elements without an end tag, elements whose content is no text, and elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Fixed by HTML: elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -47,11 +49,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, tuple(x for _, marks in stack for x in marks), min(1.0, linked / len(text))))
+            out.append((text, tuple([x for _, marks in stack[-PATH:] for x in marks][-PATH:]), min(1.0, linked / len(text))))
         parts, linked = [], 0
 
     def close(name):
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, max(-1, len(stack) - DEEPEST - 1), -1):
             if stack[i][0] == name:
                 del stack[i:]
                 return
@@ -114,7 +116,7 @@ def vectors(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
     x = np.zeros((len(found), COLS), np.float32)
     for i, (text, path, linked) in enumerate(found):
         row = x[i]
-        for token in path[-24:]:
+        for token in path:
             row[_col(token, TAG_COLS)] = 1
             if token[:6] == "class:" or token[:3] == "id:":
                 row[_col("any:" + token.split(":")[1], TAG_COLS)] = 1

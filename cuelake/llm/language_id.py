@@ -25,6 +25,11 @@ PER_LANGUAGE, TRAIN_WINDOWS, MAX_LANGUAGES = 400, 6, 200
 LETTER = re.compile(r"[^\W\d_]").search
 
 
+def has_letter(text: str) -> bool:
+    found = LETTER(text)
+    return bool(found) and (found.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def windows(raw: bytes) -> np.ndarray:
     """All consecutive windows; the last is filled up with spaces. Neighbours overlap by the widest filter less one."""
     step = WINDOW - max(SIZES) + 1
@@ -130,7 +135,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteConvNet |
     labels = sorted({r.lang for r in sample})
     xs, ys = [], []
     for r in sorted(sample, key=lambda r: (str(r.doc_id), r.lang)):
-        if LETTER(r.text):
+        if has_letter(r.text):
             w = windows(r.text.encode("utf-8", "replace"))
             w = w[np.unique(np.linspace(0, len(w) - 1, min(len(w), TRAIN_WINDOWS)).astype(int))]
             xs.append(w)
@@ -152,7 +157,7 @@ def predict(df: DataFrame, net: ByteConvNet | None, text_col: str = "text", keep
         t = shared.value
 
         def apply(texts):
-            raws = [x.encode("utf-8", "replace") if t and x and LETTER(x) else None for x in texts]
+            raws = [x.encode("utf-8", "replace") if t and x and has_letter(x) else None for x in texts]
             wins = [windows(r) for r in raws if r is not None]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             if wins:

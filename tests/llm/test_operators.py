@@ -261,6 +261,20 @@ def test_pii_base_spans():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    start = time.time()
+    for text in ("1" * 400_000, "1." * 200_000, "+1(" * 100_000, "a" * 300_000 + "@", "a@" * 100_000, "key=" * 100_000, "(12) " * 80_000):
+        pii.all_spans(text, np.zeros(78), {})
+    for page in ("<a " * 100_000, "<" * 300_000, "<p>" * 30_000, "<div>x" * 30_000, "<div>" * 30_000 + "</p>x" * 30_000, '<a href="' * 3_000, "&amp;" * 100_000, "<!--" * 50_000):
+        html_text.vectors(html_text.blocks(page))
+    for text in ("x" * 2_000_000, "a b " * 400_000):
+        simhash.fingerprint(text), quality.counts(text), language_id.windows(text.encode()), decontaminate.hashes(text.split())
+    assert time.time() - start < 60
+    assert not language_id.has_letter("12 ² ½ _") and language_id.has_letter("½ é")
+
+
 def test_pii_query(spark, documents):
     out = {r["doc_id"]: r for r in got(spark, "op5_pii")}
     texts = dict(documents)
