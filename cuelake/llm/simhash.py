@@ -26,18 +26,24 @@ RADIUS, SHINGLE, SEED = 2, 3, 42
 TILE, BLOCK = 8192, 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles in order; of all words if there are no more; none without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z are lowered, only ASCII space splits
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        h = np.array([digest(b" ".join(words), SEED)], np.uint64)
-    else:
-        buf = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        h = np.array([digest(buf[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    buf = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([digest(buf[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         counts += np.unpackbits(h[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)

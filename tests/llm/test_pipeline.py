@@ -1,9 +1,11 @@
 """The pipeline's stages, each against what it must keep and drop."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelake.llm import common, pii, queries, quality, simhash
+from cuelake.llm import common, near_copies, pii, queries, quality, simhash
 from cuelake.llm.sentencepiece_ops import decode_documents
 from tests.conftest import SF
 from tests.llm.test_operators import plain_components, plain_containment, plain_fingerprint
@@ -55,3 +57,37 @@ def test_stage_edges(spark):
             assert name == "encoding" or docs.columns == [f.split()[0] for f in schema.split(", ")]
         assert docs.count() == (3 if data else 0)  # one of the two texts without words and of the repeated rows, and the one without an id
     assert simhash.near_duplicates(spark.createDataFrame(rows, schema)).where(F.col("component_id") == 3).count() == 2
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_near_copies(spark, monkeypatch, tile):
+    """Against all pairs: planted copies with changed words, a chain of them, and texts that only share a passage."""
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "COLUMNS", tile * 16)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in (7, 30, 60, 200, 900):
+        base = rng.choice(words, n).tolist()
+        for changes in (0, 0, 1, 2, 4, 8, 16):
+            copy = list(base)
+            for i in rng.choice(n, min(changes, n), replace=False):
+                copy[i] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+        texts += [" ".join(base[: n // 2] + rng.choice(words, n // 2).tolist()), " ".join(base[: n - 1])]
+    chain = rng.choice(words, 300).tolist()
+    for i in range(0, 120, 6):
+        chain[i * 2] = "changed"
+        texts.append(" ".join(chain))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    far = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1") > simhash.RADIUS
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert far > 10 and len(set(group)) > 12
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(group)
