@@ -38,7 +38,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-ANY = re.compile(r"[0-9@=]").search
+#: What every base span and every candidate has at least one of.
+ANY = re.compile(r"[0-9@=:(\[]").search
 SECRET = re.compile(r"\b([A-Za-z][A-Za-z_]{2,19})[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_-]{8,200})[\"']?")
 NUMBER = re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")
 ADDRESS = re.compile(r"\b[A-Za-z0-9._]{2,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,40}(?: ?[\[(]dot[\])] ?|\.)[A-Za-z]{2,10}\b")

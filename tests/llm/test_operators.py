@@ -287,6 +287,17 @@ def test_pii_query(spark, documents):
     assert found == sum(bool(re.search(r"password=|token = ", t)) for t in texts.values())
 
 
+def test_pii_texts_without_digits(spark):
+    """Spelled-out addresses and passwords count and are masked in texts without a digit, @ or =."""
+    bare = ["write to jane.doe [at] example [dot] org today", "or to jane.doe(at)example.org", "the password: abcdefghij is old"]
+    weights = np.zeros(78)
+    weights[-1] = 1  # accepts every candidate
+    assert [[s[2] for s in pii.all_spans(t, weights, {})[1]] for t in bare] == [["address"], ["address"], ["secret"]]
+    df = spark.createDataFrame(list(enumerate(bare)), "doc_id long, text string")
+    assert sum(r.n for r in pii.vote_counts(df).collect()) == 3
+    assert [r.text for r in pii.mask(df, {"weights": weights}).orderBy("doc_id").collect()] == ["write to <address> today", "or to <address>", "the password: <secret> is old"]
+
+
 def test_pii_reliabilities():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
