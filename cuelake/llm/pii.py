@@ -6,8 +6,9 @@ the words before the span, its characters, and its variety. Expectation-maximisa
 patterns of all documents estimates each labeler's reliability per class; the posteriors train a logistic span
 classifier on votes and shape features, which decides about each candidate.
 
-What reaches the driver is one row per (vote pattern, shape): at most MAX_PATTERNS rows, commonest first, train the
-classifier (a documented bound of the fit); the classifier then judges every candidate of every text.
+What reaches the driver is the full count of each vote pattern for the EM, and one row per (vote pattern, shape): at
+most MAX_PATTERNS rows, commonest first, train the classifier (a documented bound of the fit); the classifier then
+judges every candidate of every text.
 
 Null texts count as empty. Offsets are code points, the end is exclusive.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import map_texts, slices
+from cuelake.llm.common import map_texts, slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "number", "address")
@@ -40,7 +41,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: What every base span and every candidate has at least one of.
 ANY = re.compile(r"[0-9@=:(\[]").search
-SECRET = re.compile(r"\b([A-Za-z][A-Za-z_]{2,19})[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_-]{8,200})[\"']?")
+SECRET = re.compile(r"\b([A-Za-z][A-Za-z_]{2,}+)[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_-]{8,}+)[\"']?")
 NUMBER = re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")
 ADDRESS = re.compile(r"\b[A-Za-z0-9._]{2,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,40}(?: ?[\[(]dot[\])] ?|\.)[A-Za-z]{2,10}\b")
 #: Gazetteers.
@@ -165,15 +166,19 @@ def features(kind: str, votes: tuple, shape: str) -> np.ndarray:
     return x
 
 
-def train(counts: list[tuple[str, str, str, int]]) -> dict:
-    """Labeler reliabilities and classifier weights from pattern counts."""
+def train(counts: list[tuple[str, str, str, int]], votes_n: list[tuple[str, str, int]]) -> dict:
+    """Labeler reliabilities from the full counts of kinds and votes; classifier weights from the pattern counts."""
     dim = 3 + 2 * N_LABELERS + 64 + 1
     if not counts:
         return {"weights": np.zeros(dim), "reliability": np.zeros((N_LABELERS, 2, 3)), "prior": 0.5}
+    read = lambda v: tuple(map(int, v.split(",")))
+    votes_n = sorted(votes_n)
+    votes = [read(v) for _, v, _ in votes_n]
+    posts, table, prior = reliabilities(np.array(votes), np.array([c for _, _, c in votes_n], float))
+    by_votes = dict(zip(votes, posts))
     counts = sorted(counts)
-    parsed = [(k, tuple(map(int, v.split(","))), s) for k, v, s, _ in counts]
-    votes, n = np.array([v for _, v, _ in parsed]), np.array([c[3] for c in counts], float)
-    post, table, prior = reliabilities(votes, n)
+    parsed = [(k, read(v), s) for k, v, s, _ in counts]
+    n, post = np.array([c[3] for c in counts], float), np.array([by_votes[v] for _, v, _ in parsed])
     x, weight = np.array([features(*p) for p in parsed]), n / n.sum()
     w = np.zeros(dim)
     for _ in range(800):
@@ -183,8 +188,9 @@ def train(counts: list[tuple[str, str, str, int]]) -> dict:
 
 
 def fit(df: DataFrame, text_col: str = "text") -> dict:
-    rows = vote_counts(df, text_col).orderBy(F.desc("n"), "kind", "votes", "shape").limit(MAX_PATTERNS).collect()
-    return train([tuple(r) for r in rows])
+    counts = stored(vote_counts(df, text_col), "votes")
+    rows = counts.orderBy(F.desc("n"), "kind", "votes", "shape").limit(MAX_PATTERNS).collect()
+    return train([tuple(r) for r in rows], [tuple(r) for r in counts.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()])
 
 
 def all_spans(text: str | None, weights: np.ndarray, memo: dict) -> tuple[list, list]:

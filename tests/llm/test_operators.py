@@ -298,6 +298,30 @@ def test_pii_texts_without_digits(spark):
     assert [r.text for r in pii.mask(df, {"weights": weights}).orderBy("doc_id").collect()] == ["write to <address> today", "or to <address>", "the password: <secret> is old"]
 
 
+def test_pii_long_secrets():
+    """Keys and values of any length, in linear time."""
+    import time
+
+    weights = np.zeros(78)
+    weights[-1] = 1
+    for key, value in (("token", "aB3" * 107), ("AWS_PRODUCTION_SECRET_ACCESS_KEY", "wJalrXUtnFEMI/K7MDENG"), ("k" * 300, "x9" * 5000)):
+        assert pii.all_spans(f"{key}={value} end", weights, {})[1][-1] == (len(key) + 1, len(key) + 1 + len(value), "secret")
+    start = time.time()
+    for text in ("a" * 400_000 + "=", "a_" * 200_000, "key=" + "b" * 400_000, "a b=" * 100_000):
+        pii.all_spans(text, weights, {})
+    assert time.time() - start < 20
+
+
+def test_pii_votes_count_in_full(spark, monkeypatch):
+    """The reliabilities do not depend on how many patterns train the classifier."""
+    texts = ["token=abcd1234efgh", "secret=aaaaaaaa", "version 12 34 56 and call 415 555 2671", "other: something", "x.y [at] example.org", "apikey=" + "9f" * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    whole = pii.fit(df)
+    monkeypatch.setattr(pii, "MAX_PATTERNS", 2)
+    part = pii.fit(df)
+    assert part["prior"] == whole["prior"] and np.array_equal(part["reliability"], whole["reliability"])
+
+
 def test_pii_reliabilities():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
