@@ -40,10 +40,11 @@ def op3_simhash(spark, sf_dir):
 
 
 def op4_suffix_dedup(spark, sf_dir):
+    """Also n_passages and passage_words: passages of over 50 words that start anywhere else too, which may be shorter than 400 bytes."""
     from cuelake.llm.suffix_dedup import deduplicate
 
     out = deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_words")
 
 
 def _joined(spans):

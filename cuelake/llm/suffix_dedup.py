@@ -5,15 +5,21 @@ equal anchors, so the runs of windows that share an anchor can be dealt out by i
 one shard, and anchors that occur once are done. Equal runs are counted and kept once. The different runs of an anchor
 are joined, with separators, to shards of about SHARD bytes, whose suffixes are sorted with their common prefixes by
 external induced sorting (module induced); a window is repeated if it shares LENGTH bytes with a neighbour in the order.
-An anchor with more than HOT different runs would outgrow a shard: pieces of its runs, down to single windows, are
-counted by 128-bit digests instead, dealt out by those.
+What a shard's sort holds beyond BUDGET is in files, so that a shard may be far larger than memory.
+An anchor with more than HOT different runs is dealt out further, so that no task grows with it: pieces of its runs,
+down to single windows, are counted by 128-bit digests.
 
-Matches are of bytes, never across documents, and judged on the input. Null texts count as empty. Repeated rows are
-documents of their own. A null doc_id is kept as it is.
+Passages of more than 50 words that start anywhere else too are found alike, with words in place of bytes (PASSAGE words
+a window, strings of GRAM words as anchors); they are counted, not removed. They may be shorter than LENGTH bytes.
+
+Matches are never across documents, and judged on the input. Null texts count as empty. Repeated rows are documents of
+their own. A null doc_id is kept as it is.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,15 +27,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import slices, stored
-from cuelake.llm.induced import repeated
+from cuelake.llm.common import drop, slices, stored
+from cuelake.llm.induced import Spill, repeated, repeated_names
 
 LENGTH, ANCHOR = 400, 128
-SHARD, HOT = 1_000_000, 512
-#: Bytes of a document that are anchored at a time.
+PASSAGE, GRAM = 51, 16
+SHARD, HOT = 4_000_000, 512
+#: Bytes of queues and arrays that a shard's sort keeps in memory.
+BUDGET = 8 << 20
+#: Units of a document that are anchored at a time.
 CHUNK = 4_000_000
+CACHE_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
+_WORDS: dict[bytes, int] = {}
+
+
+class Unit(NamedTuple):
+    """What windows are made of. The lowest bit of a key tells the unit: 0 for bytes, 1 for words (by their hashes)."""
+
+    mark: int
+    kind: type
+    length: int
+    anchor: int
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+    def key(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & ~np.uint64(1) | np.uint64(self.mark)).view(np.int64)
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        return df.where(F.pmod("key", F.lit(2)) == self.mark)
+
+
+def units(length: int = LENGTH) -> tuple[Unit, Unit]:
+    return Unit(0, np.uint8, length, ANCHOR), Unit(1, np.uint64, PASSAGE, GRAM)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash per word; words are parted by ASCII white space."""
+    words = raw.split()
+    if len(_WORDS) > CACHE_WORDS:
+        _WORDS.clear()
+    for w in [w for w in set(words) if w not in _WORDS]:
+        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all stretches of a width."""
@@ -53,16 +98,16 @@ def _hashes(x: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def runs(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR):
-    """(start, end, anchor hash) of the runs of windows that share an anchor; end: where their last window ends."""
-    out = []
-    for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
-        h = _hashes(np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - at), at), anchor)
-        low = _slide((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), length - anchor + 1)
+def runs(x: np.ndarray, unit: Unit):
+    """(start, end, key) of the runs of windows that share an anchor; end: where their last window ends."""
+    out, length = [], unit.length
+    for at in range(0, max(len(x) - length + 1, 0), CHUNK):
+        h = _hashes(x[at : at + CHUNK + length - 1], unit.anchor)
+        low = _slide((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), length - unit.anchor + 1)
         place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:], [len(place)]])
-        out.append((at + first, at + last - 1 + length, h[place[first]].view(np.int64)))
+        out.append((at + first, at + last - 1 + length, unit.key(h[place[first]])))
     if not out:
         return [np.zeros(0, np.int64)] * 3
     return [np.concatenate(c) for c in zip(*out)]
@@ -81,7 +126,8 @@ def _packed(spans: list[tuple[int, int]]) -> bytes:
 
 
 RUN = T.StructType([T.StructField("rid", T.LongType()), T.StructField("start", T.LongType()), T.StructField("len", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("content", T.BinaryType())])
-FOUND = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("spans", T.BinaryType())])
+#: spilled: bytes that the sort of the row's shard kept in files.
+FOUND = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("spans", T.BinaryType()), T.StructField("spilled", T.LongType())])
 
 
 def row_keys(df: DataFrame) -> DataFrame:
@@ -93,7 +139,8 @@ def row_keys(df: DataFrame) -> DataFrame:
 
 
 def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs: rid, text. One row per run of windows with a common anchor."""
+    """docs: rid, text. One row per run of windows with a common anchor, of either unit."""
+    byte, word = units(length)
 
     def task(batches):
         for batch in batches:
@@ -101,14 +148,17 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols = [[], [], [], [], []]
                 for rid, text in zip(part.column("rid").to_pylist(), part.column("text").to_pylist()):
                     raw = (text or "").encode("utf-8", "replace")
-                    if len(raw) < length:
-                        continue
-                    a, b, key = runs(raw, length)
-                    cols[0].append(np.full(len(a), rid))
-                    cols[1].append(a)
-                    cols[2].append((b - a).astype(np.int32))
-                    cols[3].append(key)
-                    cols[4] += [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())]
+                    x = word_hashes(raw)
+                    for unit, x, digest in ((byte, np.frombuffer(raw, np.uint8), xxhash.xxh3_128_digest), (word, x, xxhash.xxh3_64_digest)):
+                        if len(x) < unit.length:
+                            continue
+                        a, b, key = runs(x, unit)
+                        cols[0].append(np.full(len(a), rid))
+                        cols[1].append(a)
+                        cols[2].append((b - a).astype(np.int32))
+                        cols[3].append(key)
+                        view = x.view(np.uint8).data
+                        cols[4] += [digest(view[i:j]) for i, j in zip((a * unit.size).tolist(), (b * unit.size).tolist())]
                 if cols[4]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols[:4]] + [pa.array(cols[4], pa.binary())], RUN.fieldNames())
 
@@ -116,7 +166,7 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _with_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted: rid, start, len and others. Adds their bytes, cut from the texts; a document's list is as long as its text at most."""
+    """wanted: rid, start, len, key and others. Adds their bytes, cut from the texts or their words' hashes; a document's list is as long as its text at most."""
     others = [f for f in wanted.schema.fields if f.name not in ("rid", "start", "len")]
     names = [f.name for f in others]
     per_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "len", *names)).alias("runs"))
@@ -129,8 +179,10 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 raws = []
                 for text, found in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
                     raw = text.encode("utf-8", "replace")
+                    hashes = word_hashes(raw).tobytes() if any(r["key"] & 1 for r in found) else b""
                     for r in found:
-                        raws.append(raw[r["start"] : r["start"] + r["len"]])
+                        a, n = r["start"], r["len"]
+                        raws.append(hashes[8 * a : 8 * (a + n)] if r["key"] & 1 else raw[a : a + n])
                         for values, name in zip(rows, names):
                             values.append(r[name])
                 if raws:
@@ -140,20 +192,35 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("rid", "text").join(per_doc, "rid").select("text", "runs").mapInArrow(task, schema)
 
 
-def sort_shards(cut: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def sorted_spans(contents: list[tuple[int, bytes]], unit: Unit, spill: Spill) -> list[bytes]:
+    """Repeated stretches of each of a shard's runs (occurrences, bytes), from the suffix order of all of them."""
+    if unit.kind is np.uint8:
+        text = np.concatenate([np.concatenate([np.frombuffer(raw, np.uint8) + np.uint8(2), np.ones(1, np.uint8)]) for _, raw in contents])  # UTF-8 has no bytes 254 and 255
+        mark = repeated(text, unit.length, spill)
+    else:
+        words = [np.frombuffer(raw, unit.kind) for _, raw in contents]
+        names = np.unique(np.concatenate(words), return_inverse=True)[1].astype(np.int32) + 2
+        ends = np.cumsum([len(w) for w in words])
+        names = np.concatenate([np.insert(names, ends, 1), [0]]).astype(np.int32)
+        mark = repeated_names(names, int(names.max()) + 1, unit.length, spill)
+    at, spans = 0, []
+    for n, raw in contents:
+        size = len(raw) // unit.size
+        spans.append(_packed([(0, size)] if n > 1 else _merged(np.flatnonzero(mark[at : at + size - unit.length + 1]), unit.length)))
+        at += size + 1
+    return spans
+
+
+def sort_shards(cut: DataFrame, unit: Unit, shard: int = SHARD, budget: int = BUDGET) -> DataFrame:
     """cut: key, content, n (occurrences), raw. Stretches of each run that are repeated, from the shards' suffix order."""
 
     def task(batches):
         held, size, key = [], 0, None
 
         def done():
-            text = np.concatenate([np.concatenate([np.frombuffer(r[3], np.uint8) + np.uint8(2), np.ones(1, np.uint8)]) for r in held])  # UTF-8 has no bytes 254 and 255
-            mark, at, spans = repeated(text, length), 0, []
-            for _, _, n, raw in held:
-                windows = len(raw) - length + 1
-                spans.append(_packed([(0, len(raw))] if n > 1 else _merged(np.flatnonzero(mark[at : at + windows]), length)))
-                at += len(raw) + 1
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(spans, pa.binary())], FOUND.fieldNames())
+            spill = Spill(budget)
+            spans = sorted_spans([r[2:] for r in held], unit, spill)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(spans, pa.binary()), pa.array([spill.spilled] * len(held), pa.int64())], FOUND.fieldNames())
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -169,26 +236,28 @@ def sort_shards(cut: DataFrame, length: int = LENGTH, shard: int = SHARD) -> Dat
     return cut.select("key", "content", "n", "raw").repartition("key").sortWithinPartitions("key", "content").mapInArrow(task, FOUND)
 
 
-def _anchor(raw: bytes, key: int) -> int:
-    """Where a run's anchor is: the first string with its hash."""
-    return int(np.flatnonzero(_hashes(np.frombuffer(raw, np.uint8), ANCHOR).view(np.int64) == key)[0])
+def _anchor(x: np.ndarray, key: int, unit: Unit) -> int:
+    """Where a run's anchor is: the first string with its key."""
+    return int(np.flatnonzero(unit.key(_hashes(x, unit.anchor)) == key)[0])
 
 
-def count_windows(cut: DataFrame, length: int = LENGTH) -> DataFrame:
+def count_windows(cut: DataFrame, unit: Unit, kept: list[DataFrame]) -> DataFrame:
     """The same for anchors with too many different runs, by digests dealt out on their own.
 
     Equal windows lie alike to their anchor, so runs are cut at fixed distances from it. The bytes that all windows of
     such a block have in common, its core, tell whether any of them can be repeated: a core that occurs once is done.
     Equal pieces are repeated in whole. The others are cut finer, down to single windows; of equal ones, one goes along
     for the others to match. A passage that many documents share costs a few rows per document, not one per window.
+    Tables that the result reads are added to `kept`.
     """
+    length, step = unit.length, unit.size
     schema = T.StructType([*FOUND.fields[:2], T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("rel", T.IntegerType()), T.StructField("raw", T.BinaryType()), T.StructField("solved", T.BooleanType())])
     cut_schema = T.StructType([*schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("core", T.BinaryType())])
 
     def start(batches):
         for batch in batches:
             key, content, n, raw = (batch.column(i).to_pylist() for i in range(4))
-            rel = [_anchor(r, k) for k, r in zip(key, raw)]
+            rel = [_anchor(np.frombuffer(r, unit.kind), k, unit) for k, r in zip(key, raw)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([0] * len(n), pa.int32()), pa.array(rel, pa.int32()), batch.column(3), pa.array([False] * len(n))], schema.fieldNames())
 
     def cutter(width):
@@ -196,11 +265,11 @@ def count_windows(cut: DataFrame, length: int = LENGTH) -> DataFrame:
             for batch in batches:
                 out = [[] for _ in cut_schema]
                 for key, content, n, at, rel, raw, solved in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                    blocks = (rel - np.arange(len(raw) - length + 1)) // width
+                    blocks = (rel - np.arange(len(raw) // step - length + 1)) // width
                     cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
                     for i, j in zip(cuts, cuts[1:]):
-                        piece, low = raw[i : j - 1 + length], int(blocks[i]) * width
-                        core = raw[rel - low : rel - low - width + 1 + length]
+                        piece, low = raw[i * step : (j - 1 + length) * step], int(blocks[i]) * width
+                        core = raw[(rel - low) * step : (rel - low - width + 1 + length) * step]
                         for values, v in zip(out, (key, content, n, at + i, rel - i, piece, solved, xxhash.xxh3_128_digest(piece), xxhash.xxh3_128_digest(core))):
                             values.append(v)
                 kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
@@ -211,17 +280,21 @@ def count_windows(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     def pack(batches):
         for batch in batches:
             spans = [_packed([(s["at"], s["at"] + s["len"]) for s in found]) for found in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary())], FOUND.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array([0] * len(spans), pa.int64())], FOUND.fieldNames())
 
     pending, done = cut.select("key", "content", "n", "raw").mapInArrow(start, schema), None
-    for width in (64, 16, 4, 1):
+    for width in (64, 16, 4, 1) if length > 64 else (16, 4, 1):
         pieces = stored(pending.mapInArrow(cutter(width), cut_schema), "pieces")
         if width > 1:  # a single window is its own core
             cores = stored(pieces.groupBy("core").agg(F.sum("n").alias("total")).where("total > 1").select("core"), "cores")
-            pieces = stored(pieces.join(cores, "core", "left_semi").select(*cut_schema.fieldNames()), "pieces")
+            fewer = stored(pieces.join(cores, "core", "left_semi").select(*cut_schema.fieldNames()), "pieces")
+            drop(pieces, cores)
+            pieces = fewer
         often = stored(pieces.groupBy("digest").agg(F.sum("n").alias("total"), F.min(F.struct("content", "at")).alias("first")).where("total > 1").select("digest", "first"), "often")
         judged = stored(pieces.join(often, "digest", "left").drop("digest", "core"), "judged")
-        again = judged.where("first is not null and not solved").select("key", "content", "at", F.length("raw").alias("len"))
+        drop(pieces, often)
+        kept.append(judged)
+        again = judged.where("first is not null and not solved").select("key", "content", "at", (F.length("raw") / step).cast("int").alias("len"))
         done = again if done is None else done.union(again)
         names = schema.fieldNames()
         one = judged.where((F.col("first.content") == F.col("content")) & (F.col("first.at") == F.col("at"))).withColumn("solved", F.lit(True)).withColumn("n", F.lit(2).cast("long"))
@@ -229,50 +302,71 @@ def count_windows(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     return done.groupBy("key", "content").agg(F.collect_list(F.struct("at", "len")).alias("found")).mapInArrow(pack, FOUND)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """docs: rid, text. rid, found: array of (start, spans), stretches to remove relative to start."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD, budget: int = BUDGET) -> DataFrame:
+    """docs: rid, text. rid, found: array of (start, spans, words): repeated stretches relative to start, in words or bytes."""
     every = stored(find_runs(docs, length), "runs")
     distinct = stored(every.groupBy("key", "content").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "start", "len")]), "contents")
-    keys = stored(distinct.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("total")).where("total > 1"), "anchors")
-    shared = distinct.join(keys.select("key", "contents"), "key")
-    different = stored(_with_bytes(shared.where("contents > 1").select("key", "content", "n", "contents", "rid", "start", "len"), docs), "different")
-    found = sort_shards(different.where(F.col("contents") <= hot), length, shard)
-    if different.where(F.col("contents") > hot).limit(1).count():
-        found = found.union(count_windows(different.where(F.col("contents") > hot), length))
-    found = stored(found.where(F.length("spans") > 0), "found")
+    keys = distinct.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("total")).where("total > 1")
+    shared = stored(distinct.join(keys.select("key", "contents"), "key"), "shared")
+    drop(distinct)
     once = shared.where("contents = 1").select("key", "content", F.lit(None).cast("binary").alias("spans"))
-    return every.join(found.union(once), ["key", "content"]).groupBy("rid").agg(F.collect_list(F.struct("start", "len", "spans")).alias("found"))
-
-
-def deduplicate(df: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """df: doc_id, text. Returns doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes."""
+    different = stored(_with_bytes(shared.where("contents > 1").select("key", "content", "n", "contents", "rid", "start", "len"), docs), "different")
+    parts, kept = [], [different]
+    for unit in units(length):
+        parts.append(sort_shards(unit.rows(different).where(F.col("contents") <= hot), unit, shard, budget).drop("spilled"))
+        too_many = unit.rows(different).where(F.col("contents") > hot)
+        if too_many.limit(1).count():
+            parts.append(count_windows(too_many, unit, kept).drop("spilled"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    found = stored(found.where(F.length("spans") > 0).union(once), "found")
+    drop(shared, *kept)
+    one = F.struct("start", "len", "spans", (F.pmod("key", F.lit(2)) == 1).alias("words"))
+    return every.join(found, ["key", "content"]).groupBy("rid").agg(F.collect_list(one).alias("found"))
+
+
+def _stretches(found: list[dict]) -> list[tuple[int, int]]:
+    """Maximal stretches that the runs' repeated parts cover; parts that touch are one."""
+    out = []
+    cuts = []
+    for r in found:
+        own = [(0, r["len"])] if r["spans"] is None else np.frombuffer(r["spans"], "<i4").reshape(-1, 2).tolist()
+        cuts += [(r["start"] + a, r["start"] + b) for a, b in own]
+    for a, b in sorted(cuts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def deduplicate(df: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD, budget: int = BUDGET) -> DataFrame:
+    """df: doc_id, text. Returns doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), n_passages and passage_words.
+
+    The last two count the stretches of words in which every word lies in a passage of over 50 words that starts
+    anywhere else too, and their words; they remove nothing.
+    """
     docs = row_keys(df.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    spans = repeated_spans(docs, length, hot, shard)
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
+    spans = repeated_spans(docs, length, hot, shard, budget)
+    numbers = ("n_bytes", "n_removed", "n_spans")
+    more = ("n_passages", "passage_words")
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in numbers], T.StructField("kept", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in more]])
 
     def task(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [[], [], [], []]
+                out = [[] for _ in schema.fields[1:]]
                 for text, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist()):
-                    raw = text.encode("utf-8", "replace")
-                    kept, removed, spans, at, end = [], 0, 0, 0, -1
-                    if found:
-                        cuts = []
-                        for r in found:
-                            own = [(0, r["len"])] if r["spans"] is None else np.frombuffer(r["spans"], "<i4").reshape(-1, 2).tolist()
-                            cuts += [(r["start"] + a, r["start"] + b) for a, b in own]
-                        for a, b in sorted(cuts):
-                            if a > end:
-                                spans += 1
-                            if b > at:
-                                kept.append(raw[at:a] if a > at else b"")
-                                removed += b - max(a, at)
-                                at = b
-                            end = max(end, b)
+                    raw, found, at, kept = text.encode("utf-8", "replace"), found or [], 0, []
+                    cuts, passages = (_stretches([r for r in found if r["words"] == w]) for w in (False, True))
+                    for a, b in cuts:
+                        kept.append(raw[at:a])
+                        at = b
                     kept.append(raw[at:])
-                    for values, v in zip(out, (len(raw), removed, spans, b"".join(kept))):
+                    total = lambda x: sum(b - a for a, b in x)
+                    for values, v in zip(out, (len(raw), total(cuts), len(cuts), b"".join(kept), len(passages), total(passages))):
                         values.append(v)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.binary())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, pa.binary() if i == 3 else pa.int64()) for i, v in enumerate(out))], schema.fieldNames())
 
     return docs.select("rid", "doc_id", "text").join(spans, "rid", "left").select("doc_id", "text", "found").mapInArrow(task, schema)

@@ -192,7 +192,36 @@ def test_induced_sorting(seed):
     s = bytes(t) + b"\0"
     n = collections.Counter(s[i : i + cap] for i in range(len(s) - cap + 1))
     want = [i + cap <= len(s) and n[s[i : i + cap]] > 1 for i in range(len(t))]
-    assert induced.repeated(t, cap, budget=int(rng.choice([0, 300, 10**9]))).tolist() == want  # 0: every block goes through the file
+    assert induced.repeated(t, cap, induced.Spill(int(rng.choice([0, 300, 10**9])))).tolist() == want  # 0: every block and array is in a file
+
+
+@pytest.mark.parametrize("batch,least", [(3, 1), (50, 5), (1 << 17, 40)])
+def test_recursive_order(monkeypatch, batch, least):
+    """Order of the suffixes of strings of names, with small blocks and ranges, runs and periods."""
+    monkeypatch.setattr(induced, "BATCH", batch)
+    monkeypatch.setattr(induced, "RANGE", least)
+    monkeypatch.setattr(induced, "RANGES", 7)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        t = rng.integers(1, 1 + int(rng.choice([1, 2, 3, 20, 500])), int(rng.integers(1, 300)))
+        t = np.concatenate([t, t[: len(t) // 2], np.full(seed, 3), np.tile(t[:5], seed % 9)])
+        names = np.unique(np.concatenate([t, [0]]), return_inverse=True)[1].astype(np.int32)
+        spill = induced.Spill([0, 500, 10**9][seed % 3])
+        order = induced._sorted_names(names, int(names.max()) + 1, spill, np.int32)
+        assert order.tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+        n = collections.Counter(tuple(names[i : i + 6]) for i in range(len(names) - 5))
+        want = [i + 6 <= len(names) and n[tuple(names[i : i + 6])] > 1 for i in range(len(names))]
+        assert induced.repeated_names(names, int(names.max()) + 1, 6, induced.Spill(10**9)).tolist() == want
+
+
+def test_shards_beyond_the_budget(spark):
+    """Shards of the query's runs are sorted in files beyond the budget: with the query's own bound, and with a small one for most of the sort."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    runs = suffix_dedup.find_runs(docs).withColumn("n", F.lit(1)).withColumn("contents", F.lit(1))
+    rows = suffix_dedup._with_bytes(runs, docs)
+    for unit in suffix_dedup.units():
+        for budget, least in ((suffix_dedup.BUDGET, 0), (1 << 20, 10 << 20)):
+            assert suffix_dedup.sort_shards(unit.rows(rows).coalesce(1), unit, budget=budget).agg(F.max("spilled")).first()[0] > least
 
 
 def plain_removed(docs, length):
@@ -207,14 +236,30 @@ def plain_removed(docs, length):
     return sorted(out, key=repr)
 
 
+def plain_passages(docs, length=51):
+    words = [(key, (text or "").encode().split()) for key, text in docs]
+    n = collections.Counter(tuple(w[i : i + length]) for _, w in words for i in range(len(w) - length + 1))
+    out = set()
+    for key, w in words:
+        held = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - length + 1):
+            if n[tuple(w[i : i + length])] > 1:
+                held[i : i + length] = True
+        out.add((key, int((held & ~np.concatenate([[False], held[:-1]])).sum()), int(held.sum())))
+    return out
+
+
 def removed(df, **kw):
     out = suffix_dedup.deduplicate(df, **kw)
+    passages = {tuple(r) for r in out.select("doc_id", "n_passages", "passage_words").collect()}
+    assert passages == plain_passages([tuple(r) for r in df.select("doc_id", "text").collect()])
     return sorted([tuple(r) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()], key=repr)
 
 
 def test_dedup_query(spark, documents):
     out = sorted([tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got(spark, "op4_suffix_dedup")], key=repr)
     assert out == plain_removed([(i, (t or "").encode()) for i, t in documents], 400)
+    assert {(r["doc_id"], r["n_passages"], r["passage_words"]) for r in got(spark, "op4_suffix_dedup")} == plain_passages(documents)
 
 
 @pytest.mark.parametrize("hot", [1, 512])
@@ -224,7 +269,10 @@ def test_dedup_small(spark, hot):
     word = lambda n: "".join(rng.choice(list("abcdé \n"), n))
     shared = [word(700), word(450), word(410)]
     docs = [(i, word(int(rng.integers(0, 900))) + (shared[i % 3] if i % 4 else "") + word(int(rng.integers(0, 500)))) for i in range(40)]
-    docs += [(40, shared[0] * 3), (41, None), (42, ""), (43, "x" * 1500)]
+    say = lambda n: " ".join(rng.choice(["a", "bc", "d,", "e"], n))
+    passages = [say(51), say(60), say(50), say(90)]
+    docs += [(50 + i, " ".join([say(int(rng.integers(0, 30))), passages[i % 4], say(int(rng.integers(0, 30)))])) for i in range(16)]
+    docs += [(40, shared[0] * 3), (41, None), (42, ""), (43, "x" * 1500), (44, "y " * 200)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert removed(df, hot=hot, shard=3000) == plain_removed([(i, (t or "").encode()) for i, t in docs], 400)
 
