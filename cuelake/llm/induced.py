@@ -18,10 +18,10 @@ from collections import deque
 
 import numpy as np
 
-BATCH = 1 << 17
+BATCH = 1 << 18
 BUDGET = 16 << 20
 #: Ranges of names that a queue of the shorter strings has about, and suffixes that a range of several names has at least.
-RANGES, RANGE = 256, 1 << 13
+RANGES, RANGE = 256, 1 << 14
 
 
 class Spill:
@@ -38,11 +38,11 @@ class Spill:
             return np.zeros(n, kind)
         self.spilled += size
         with tempfile.TemporaryFile() as f:
-            return np.memmap(f, kind, "w+", shape=(n,))
+            return np.asarray(np.memmap(f, kind, "w+", shape=(n,)))
 
     def done(self, *arrays: np.ndarray) -> None:
         """Arrays that no one needs any more give their memory back to the budget."""
-        self.left += sum(a.nbytes for a in arrays if not isinstance(a, np.memmap))
+        self.left += sum(a.nbytes for a in arrays if a.base is None)  # mapped ones are views
 
     def put(self, *arrays):
         size = sum(a.nbytes for a in arrays)
@@ -206,6 +206,17 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarr
     return out
 
 
+def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the strings of these sizes equal? The text is padded by eight zeros."""
+    words, equal, live = _words(text), np.ones(len(a), bool), np.arange(len(a))
+    for k in range(0, int(size.max()), 8):
+        live = live[size[live] > k]
+        x = (words[a[live] + k] ^ words[b[live] + k]) << (8 * (8 - np.minimum(size[live] - k, 8))).astype(np.uint64)
+        equal[live[x != 0]] = False
+        live = live[x == 0]
+    return equal
+
+
 def _classify(s: np.ndarray, spill: Spill, kind, lengths: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """S-suffixes, lengths of the runs of equal values from each place on (if wanted), and leftmost S-suffixes."""
     n = len(s)
@@ -484,14 +495,7 @@ def repeated(text: np.ndarray, cap: int, spill: Spill | None = None) -> np.ndarr
         _passes(body, kinds, runs, seeds, cap, spill, False, leftmost)
         place[0] = n - 1
 
-        def same(a, b, size):
-            equal = np.ones(len(a), bool)
-            for i in range(0, int(size.max()), cap):  # by stretches that the padding covers
-                live = np.flatnonzero(equal & (size > i))
-                equal[live] = common(t, a[live] + i, b[live] + i, cap) >= np.minimum(size[live] - i, cap)
-            return equal
-
-        names, m = _named(place, lms, n, same, spill, kind)
+        names, m = _named(place, lms, n, lambda a, b, size: _alike(t, a, b, size), spill, kind)
         spill.done(place)
         order, before = _sorted_names(names, m, spill, kind), None
         spill.done(names)

@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,11 @@ PASSAGE, GRAM = 51, 16
 SHARD, HOT = 4_000_000, 512
 #: Bytes of queues and arrays that a shard's sort keeps in memory.
 BUDGET = 8 << 20
-#: Units of a document that are anchored at a time.
-CHUNK = 4_000_000
+#: Units that are anchored at a time: of a document, and of short ones together.
+CHUNK, GROUP = 4_000_000, 1 << 16
 CACHE_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_WORDS: dict[bytes, int] = {}
-
 
 class Unit(NamedTuple):
     """What windows are made of. The lowest bit of a key tells the unit: 0 for bytes, 1 for words (by their hashes)."""
@@ -66,13 +65,22 @@ def units(length: int = LENGTH) -> tuple[Unit, Unit]:
     return Unit(0, np.uint8, length, ANCHOR), Unit(1, np.uint64, PASSAGE, GRAM)
 
 
+class _Hashes(dict):
+    """Words to 64-bit hashes; remembers short ones, up to CACHE_WORDS."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) < 64 and len(self) < CACHE_WORDS:
+            self[word] = h
+        return h
+
+
+_WORDS = _Hashes()
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash per word; words are parted by ASCII white space."""
     words = raw.split()
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    for w in [w for w in set(words) if w not in _WORDS]:
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
@@ -98,19 +106,53 @@ def _hashes(x: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def runs(x: np.ndarray, unit: Unit):
-    """(start, end, key) of the runs of windows that share an anchor; end: where their last window ends."""
-    out, length = [], unit.length
-    for at in range(0, max(len(x) - length + 1, 0), CHUNK):
-        h = _hashes(x[at : at + CHUNK + length - 1], unit.anchor)
-        low = _slide((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), length - unit.anchor + 1)
-        place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        last = np.concatenate([first[1:], [len(place)]])
-        out.append((at + first, at + last - 1 + length, unit.key(h[place[first]])))
-    if not out:
-        return [np.zeros(0, np.int64)] * 3
-    return [np.concatenate(c) for c in zip(*out)]
+def _groups(texts: list[np.ndarray]) -> list[list[int]]:
+    """Neighbouring texts of about GROUP units in all, or a longer one alone."""
+    out, size = [], GROUP
+    for i, x in enumerate(texts):
+        if not out or size + len(x) > GROUP:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += len(x)
+    return out
+
+
+def runs(texts: list[np.ndarray], unit: Unit):
+    """(text, start, end, key) of the runs of windows that share an anchor, and their joined units by start and end there; end: where the last window ends."""
+    for group in _groups(texts):
+        x = np.concatenate([texts[i] for i in group])
+        sizes = np.array([len(texts[i]) for i in group])
+        ends = np.cumsum(sizes)
+        for at in range(0, max(len(x) - unit.length + 1, 0), CHUNK):
+            h = _hashes(x[at : at + CHUNK + unit.length - 1], unit.anchor)
+            low = _slide((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), unit.length - unit.anchor + 1)
+            owner = np.searchsorted(ends, np.arange(at, at + len(low)), "right")
+            inside = np.flatnonzero(np.arange(at, at + len(low)) + unit.length <= ends[owner])  # windows within one text
+            if not len(inside):
+                continue
+            place, owner = (low[inside] & np.uint64(0xFFFFFF)).astype(np.int64), owner[inside]
+            first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
+            last = np.concatenate([first[1:], [len(place)]]) - 1
+            a, b, owner = at + inside[first], at + inside[last] + unit.length, owner[first]
+            base = (ends - sizes)[owner]
+            yield np.array(group)[owner], a - base, b - base, unit.key(h[place[first]]), x, a, b
+
+
+def _binary(values: np.ndarray) -> pa.Array:
+    """An array of eight-byte strings."""
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, 8 * len(values) + 1, 8, dtype=np.int32)), pa.py_buffer(values)])
+
+
+def _contents(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Digests of stretches: of bytes 128 bits, of words (their hashes) 64, a polynomial."""
+    if x.dtype == np.uint8:
+        view = x.data
+        return pa.array([xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(a.tolist(), b.tolist())], pa.binary())
+    powers, back = (np.cumprod(np.full(len(x), f)) for f in (BASE, np.uint64(pow(int(BASE), -1, 2**64))))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers)])
+    h = (sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)
+    return _binary((h ^ (h >> np.uint64(31))) * BASE)
 
 
 def _merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -145,22 +187,11 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def task(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                cols = [[], [], [], [], []]
-                for rid, text in zip(part.column("rid").to_pylist(), part.column("text").to_pylist()):
-                    raw = (text or "").encode("utf-8", "replace")
-                    x = word_hashes(raw)
-                    for unit, x, digest in ((byte, np.frombuffer(raw, np.uint8), xxhash.xxh3_128_digest), (word, x, xxhash.xxh3_64_digest)):
-                        if len(x) < unit.length:
-                            continue
-                        a, b, key = runs(x, unit)
-                        cols[0].append(np.full(len(a), rid))
-                        cols[1].append(a)
-                        cols[2].append((b - a).astype(np.int32))
-                        cols[3].append(key)
-                        view = x.view(np.uint8).data
-                        cols[4] += [digest(view[i:j]) for i, j in zip((a * unit.size).tolist(), (b * unit.size).tolist())]
-                if cols[4]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols[:4]] + [pa.array(cols[4], pa.binary())], RUN.fieldNames())
+                raws = [(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()]
+                rids = part.column("rid").to_numpy(zero_copy_only=False)
+                for unit, texts in ((byte, [np.frombuffer(r, np.uint8) for r in raws]), (word, [word_hashes(r) for r in raws])):
+                    for which, start, end, key, x, a, b in runs(texts, unit):
+                        yield pa.RecordBatch.from_arrays([pa.array(rids[which]), pa.array(start), pa.array((end - start).astype(np.int32)), pa.array(key), _contents(x, a, b)], RUN.fieldNames())
 
     return docs.select("rid", "text").mapInArrow(task, RUN)
 
@@ -175,19 +206,18 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     def task(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [[] for _ in names]
+                found = part.column("runs").flatten()
+                start, size, key = (found.field(n).to_numpy(zero_copy_only=False) for n in ("start", "len", "key"))
+                ends = np.cumsum(part.column("runs").value_lengths().to_numpy(zero_copy_only=False))
                 raws = []
-                for text, found in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
+                for text, i, j in zip(part.column("text").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
                     raw = text.encode("utf-8", "replace")
-                    hashes = word_hashes(raw).tobytes() if any(r["key"] & 1 for r in found) else b""
-                    for r in found:
-                        a, n = r["start"], r["len"]
-                        raws.append(hashes[8 * a : 8 * (a + n)] if r["key"] & 1 else raw[a : a + n])
-                        for values, name in zip(rows, names):
-                            values.append(r[name])
+                    words = key[i:j] & 1
+                    hashes = word_hashes(raw).tobytes() if words.any() else b""
+                    step = 1 + 7 * words
+                    raws += [hashes[a:b] if w else raw[a:b] for a, b, w in zip((start[i:j] * step).tolist(), ((start[i:j] + size[i:j]) * step).tolist(), words.tolist())]
                 if raws:
-                    kinds = [batch.schema.field("runs").type.value_type.field(n).type for n in names]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)] + [pa.array(raws, pa.binary())], [*names, "raw"])
+                    yield pa.RecordBatch.from_arrays([*(found.field(n) for n in names), pa.array(raws, pa.binary())], [*names, "raw"])
 
     return docs.select("rid", "text").join(per_doc, "rid").select("text", "runs").mapInArrow(task, schema)
 
@@ -326,19 +356,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard:
     return every.join(found, ["key", "content"]).groupBy("rid").agg(F.collect_list(one).alias("found"))
 
 
-def _stretches(found: list[dict]) -> list[tuple[int, int]]:
-    """Maximal stretches that the runs' repeated parts cover; parts that touch are one."""
-    out = []
-    cuts = []
-    for r in found:
-        own = [(0, r["len"])] if r["spans"] is None else np.frombuffer(r["spans"], "<i4").reshape(-1, 2).tolist()
-        cuts += [(r["start"] + a, r["start"] + b) for a, b in own]
-    for a, b in sorted(cuts):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def _stretches(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(2 * row + 1 for words, start, end) of the maximal stretches that the runs' repeated parts cover; parts that touch are one."""
+    lists = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    one = found.flatten()
+    start, size, words = (one.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "len", "words"))
+    place = 2 * np.repeat(np.arange(len(lists)), lists) + words
+    spans = one.field("spans")
+    whole = spans.is_null().to_numpy(zero_copy_only=False)
+    parts = pa.compute.binary_length(spans).fill_null(0).to_numpy(zero_copy_only=False) // 8
+    cut = np.frombuffer(b"".join(spans.drop_null().to_pylist()), "<i4").reshape(-1, 2).astype(np.int64)
+    rows = np.repeat(np.arange(len(start)), parts)
+    g, a, b = (np.concatenate(x) for x in ((place[whole], place[rows]), (start[whole], start[rows] + cut[:, 0]), ((start + size)[whole], start[rows] + cut[:, 1])))
+    if not len(g):
+        return g, a, b
+    order = np.lexsort((a, g))
+    g, a, b = g[order], a[order], b[order]
+    far = int(b.max()) + 1
+    reach = np.maximum.accumulate(b + g * far)
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] + g[1:] * far > reach[:-1])]))
+    last = np.concatenate([first[1:], [len(g)]]) - 1
+    return g[first], a[first], reach[last] - g[last] * far
 
 
 def deduplicate(df: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD, budget: int = BUDGET) -> DataFrame:
@@ -356,17 +394,17 @@ def deduplicate(df: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int
     def task(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [[] for _ in schema.fields[1:]]
-                for text, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist()):
-                    raw, found, at, kept = text.encode("utf-8", "replace"), found or [], 0, []
-                    cuts, passages = (_stretches([r for r in found if r["words"] == w]) for w in (False, True))
-                    for a, b in cuts:
-                        kept.append(raw[at:a])
-                        at = b
-                    kept.append(raw[at:])
-                    total = lambda x: sum(b - a for a, b in x)
-                    for values, v in zip(out, (len(raw), total(cuts), len(cuts), b"".join(kept), len(passages), total(passages))):
-                        values.append(v)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, pa.binary() if i == 3 else pa.int64()) for i, v in enumerate(out))], schema.fieldNames())
+                g, a, b = _stretches(part.column("found"))
+                n = part.num_rows
+                count = np.bincount(g, minlength=2 * n).reshape(n, 2)
+                total = np.bincount(g, b - a, minlength=2 * n).astype(np.int64).reshape(n, 2)
+                cuts = np.flatnonzero(g % 2 == 0)
+                ends = np.cumsum(count[:, 0])
+                sizes, kept = [], []
+                for text, i, j in zip(part.column("text").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    raw, own = text.encode("utf-8", "replace"), cuts[i:j]
+                    sizes.append(len(raw))
+                    kept.append(b"".join(raw[x:y] for x, y in zip([0, *b[own].tolist()], [*a[own].tolist(), len(raw)])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(total[:, 0]), pa.array(count[:, 0]), pa.array(kept, pa.binary()), pa.array(count[:, 1]), pa.array(total[:, 1])], schema.fieldNames())
 
     return docs.select("rid", "doc_id", "text").join(spans, "rid", "left").select("doc_id", "text", "found").mapInArrow(task, schema)

@@ -215,12 +215,12 @@ def test_recursive_order(monkeypatch, batch, least):
 
 
 def test_shards_beyond_the_budget(spark):
-    """Shards of the query's runs are sorted in files beyond the budget: with the query's own bound, and with a small one for most of the sort."""
+    """Shards of the query's runs are sorted in files beyond the budget."""
     docs = common.table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     runs = suffix_dedup.find_runs(docs).withColumn("n", F.lit(1)).withColumn("contents", F.lit(1))
     rows = suffix_dedup._with_bytes(runs, docs)
     for unit in suffix_dedup.units():
-        for budget, least in ((suffix_dedup.BUDGET, 0), (1 << 20, 10 << 20)):
+        for budget, least in ((2 << 20, 1 << 20), (1 << 18, 5 << 20)):
             assert suffix_dedup.sort_shards(unit.rows(rows).coalesce(1), unit, budget=budget).agg(F.max("spilled")).first()[0] > least
 
 
