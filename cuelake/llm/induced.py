@@ -18,7 +18,7 @@ from collections import deque
 
 import numpy as np
 
-BATCH = 1 << 18
+BATCH = 1 << 17
 BUDGET = 16 << 20
 #: Ranges of names that a queue of the shorter strings has about, and suffixes that a range of several names has at least.
 RANGES, RANGE = 256, 1 << 14

@@ -37,7 +37,7 @@ SHARD, HOT = 4_000_000, 512
 #: Bytes of queues and arrays that a shard's sort keeps in memory.
 BUDGET = 8 << 20
 #: Units that are anchored at a time: of a document, and of short ones together.
-CHUNK, GROUP = 4_000_000, 1 << 16
+CHUNK, GROUP = 1 << 18, 1 << 16
 CACHE_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,7 +125,8 @@ def runs(texts: list[np.ndarray], unit: Unit):
         sizes = np.array([len(texts[i]) for i in group])
         ends = np.cumsum(sizes)
         for at in range(0, max(len(x) - unit.length + 1, 0), CHUNK):
-            h = _hashes(x[at : at + CHUNK + unit.length - 1], unit.anchor)
+            y = x[at : at + CHUNK + unit.length - 1]
+            h = _hashes(y, unit.anchor)
             low = _slide((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), unit.length - unit.anchor + 1)
             owner = np.searchsorted(ends, np.arange(at, at + len(low)), "right")
             inside = np.flatnonzero(np.arange(at, at + len(low)) + unit.length <= ends[owner])  # windows within one text
@@ -134,9 +135,9 @@ def runs(texts: list[np.ndarray], unit: Unit):
             place, owner = (low[inside] & np.uint64(0xFFFFFF)).astype(np.int64), owner[inside]
             first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
             last = np.concatenate([first[1:], [len(place)]]) - 1
-            a, b, owner = at + inside[first], at + inside[last] + unit.length, owner[first]
-            base = (ends - sizes)[owner]
-            yield np.array(group)[owner], a - base, b - base, unit.key(h[place[first]]), x, a, b
+            a, b, owner = inside[first], inside[last] + unit.length, owner[first]
+            base = (ends - sizes)[owner] - at
+            yield np.array(group)[owner], a - base, b - base, unit.key(h[place[first]]), y, a, b
 
 
 def _binary(values: np.ndarray) -> pa.Array:
