@@ -18,6 +18,7 @@ their own. A null doc_id is kept as it is.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -35,11 +36,12 @@ LENGTH, ANCHOR = 400, 128
 PASSAGE, GRAM = 51, 16
 SHARD, HOT = 4_000_000, 512
 #: Bytes of queues and arrays that a shard's sort keeps in memory.
-BUDGET = 8 << 20
+BUDGET = 24 << 20
 #: Units that are anchored at a time: of a document, and of short ones together.
 CHUNK, GROUP = 1 << 18, 1 << 16
-CACHE_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SPACES = re.compile(rb"[ \t-\r]")
+IN_WORD = np.array([SPACES.match(bytes([c])) is None for c in range(256)])
 
 
 class Unit(NamedTuple):
@@ -57,31 +59,39 @@ class Unit(NamedTuple):
     def key(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes & ~np.uint64(1) | np.uint64(self.mark)).view(np.int64)
 
-    def rows(self, df: DataFrame) -> DataFrame:
-        return df.where(F.pmod("key", F.lit(2)) == self.mark)
-
 
 def units(length: int = LENGTH) -> tuple[Unit, Unit]:
     return Unit(0, np.uint8, length, ANCHOR), Unit(1, np.uint64, PASSAGE, GRAM)
 
 
-class _Hashes(dict):
-    """Words to 64-bit hashes; remembers short ones, up to CACHE_WORDS."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 64 and len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-
-_WORDS = _Hashes()
+def _pieces(raw: bytes) -> list[tuple[int, int]]:
+    """Parts of about GROUP bytes that end with a white space, or with the text."""
+    out, at = [], 0
+    while at < len(raw):
+        found = SPACES.search(raw, at + GROUP)
+        end = found.end() if found else len(raw)
+        out.append((at, end))
+        at = end
+    return out
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash per word; words are parted by ASCII white space."""
-    words = raw.split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def word_hashes(raws: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit hash per word of each text, a polynomial of its bytes; words are parted by ASCII white space."""
+    joined = b"\n".join(raws)
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    powers = inverses = np.ones(1, np.uint64)
+    for at, end in _pieces(joined):
+        x = np.frombuffer(joined, np.uint8, end - at, at)
+        if len(x) >= len(powers):
+            powers, inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(x), f))]) for f in (BASE, np.uint64(pow(int(BASE), -1, 2**64))))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], IN_WORD[x], [False]])))
+        a, b = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers[: len(x)])])
+        h = (sums[b] - sums[a]) * inverses[a]
+        starts.append(a + at)
+        hashes.append((h ^ (h >> np.uint64(31))) * BASE)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    return np.split(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends[:-1])) if raws else []
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -190,7 +200,7 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for part in slices(batch, "text"):
                 raws = [(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()]
                 rids = part.column("rid").to_numpy(zero_copy_only=False)
-                for unit, texts in ((byte, [np.frombuffer(r, np.uint8) for r in raws]), (word, [word_hashes(r) for r in raws])):
+                for unit, texts in ((byte, [np.frombuffer(r, np.uint8) for r in raws]), (word, word_hashes(raws))):
                     for which, start, end, key, x, a, b in runs(texts, unit):
                         yield pa.RecordBatch.from_arrays([pa.array(rids[which]), pa.array(start), pa.array((end - start).astype(np.int32)), pa.array(key), _contents(x, a, b)], RUN.fieldNames())
 
@@ -214,7 +224,7 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 for text, i, j in zip(part.column("text").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
                     raw = text.encode("utf-8", "replace")
                     words = key[i:j] & 1
-                    hashes = word_hashes(raw).tobytes() if words.any() else b""
+                    hashes = word_hashes([raw])[0].tobytes() if words.any() else b""
                     step = 1 + 7 * words
                     raws += [hashes[a:b] if w else raw[a:b] for a, b, w in zip((start[i:j] * step).tolist(), ((start[i:j] + size[i:j]) * step).tolist(), words.tolist())]
                 if raws:
@@ -242,20 +252,20 @@ def sorted_spans(contents: list[tuple[int, bytes]], unit: Unit, spill: Spill) ->
     return spans
 
 
-def sort_shards(cut: DataFrame, unit: Unit, shard: int = SHARD, budget: int = BUDGET) -> DataFrame:
-    """cut: key, content, n (occurrences), raw. Stretches of each run that are repeated, from the shards' suffix order."""
+def sort_shards(cut: DataFrame, length: int = LENGTH, shard: int = SHARD, budget: int = BUDGET) -> DataFrame:
+    """cut: key, content, n (occurrences), raw. Stretches of each run that are repeated, from the suffix order of shards of one unit."""
 
     def task(batches):
-        held, size, key = [], 0, None
+        held, size, key = [], 0, 0
 
         def done():
             spill = Spill(budget)
-            spans = sorted_spans([r[2:] for r in held], unit, spill)
+            spans = sorted_spans([r[2:] for r in held], units(length)[key & 1], spill)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(spans, pa.binary()), pa.array([spill.spilled] * len(held), pa.int64())], FOUND.fieldNames())
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= shard and row[0] != key:
+                if held and (row[0] ^ key) & 1 or size >= shard and row[0] != key:
                     yield done()
                     held, size = [], 0
                 held.append(row)
@@ -264,7 +274,7 @@ def sort_shards(cut: DataFrame, unit: Unit, shard: int = SHARD, budget: int = BU
         if held:
             yield done()
 
-    return cut.select("key", "content", "n", "raw").repartition("key").sortWithinPartitions("key", "content").mapInArrow(task, FOUND)
+    return cut.select("key", "content", "n", "raw").repartition("key").sortWithinPartitions(F.pmod("key", F.lit(2)), "key", "content").mapInArrow(task, FOUND)
 
 
 def _anchor(x: np.ndarray, key: int, unit: Unit) -> int:
@@ -272,7 +282,7 @@ def _anchor(x: np.ndarray, key: int, unit: Unit) -> int:
     return int(np.flatnonzero(unit.key(_hashes(x, unit.anchor)) == key)[0])
 
 
-def count_windows(cut: DataFrame, unit: Unit, kept: list[DataFrame]) -> DataFrame:
+def count_windows(cut: DataFrame, length: int, kept: list[DataFrame]) -> DataFrame:
     """The same for anchors with too many different runs, by digests dealt out on their own.
 
     Equal windows lie alike to their anchor, so runs are cut at fixed distances from it. The bytes that all windows of
@@ -281,21 +291,23 @@ def count_windows(cut: DataFrame, unit: Unit, kept: list[DataFrame]) -> DataFram
     for the others to match. A passage that many documents share costs a few rows per document, not one per window.
     Tables that the result reads are added to `kept`.
     """
-    length, step = unit.length, unit.size
+    kinds_of = units(length)
     schema = T.StructType([*FOUND.fields[:2], T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("rel", T.IntegerType()), T.StructField("raw", T.BinaryType()), T.StructField("solved", T.BooleanType())])
     cut_schema = T.StructType([*schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("core", T.BinaryType())])
 
     def start(batches):
         for batch in batches:
             key, content, n, raw = (batch.column(i).to_pylist() for i in range(4))
-            rel = [_anchor(np.frombuffer(r, unit.kind), k, unit) for k, r in zip(key, raw)]
+            rel = [_anchor(np.frombuffer(r, kinds_of[k & 1].kind), k, kinds_of[k & 1]) for k, r in zip(key, raw)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([0] * len(n), pa.int32()), pa.array(rel, pa.int32()), batch.column(3), pa.array([False] * len(n))], schema.fieldNames())
 
-    def cutter(width):
+    def cutter(widths):
         def task(batches):
             for batch in batches:
                 out = [[] for _ in cut_schema]
                 for key, content, n, at, rel, raw, solved in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                    unit, width = kinds_of[key & 1], widths[key & 1]
+                    length, step = unit.length, unit.size
                     blocks = (rel - np.arange(len(raw) // step - length + 1)) // width
                     cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
                     for i, j in zip(cuts, cuts[1:]):
@@ -314,9 +326,9 @@ def count_windows(cut: DataFrame, unit: Unit, kept: list[DataFrame]) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array([0] * len(spans), pa.int64())], FOUND.fieldNames())
 
     pending, done = cut.select("key", "content", "n", "raw").mapInArrow(start, schema), None
-    for width in (64, 16, 4, 1) if length > 64 else (16, 4, 1):
-        pieces = stored(pending.mapInArrow(cutter(width), cut_schema), "pieces")
-        if width > 1:  # a single window is its own core
+    for widths in ((64, 16), (16, 8), (4, 4), (1, 1)):  # of bytes, of words
+        pieces = stored(pending.mapInArrow(cutter(widths), cut_schema), "pieces")
+        if widths != (1, 1):  # a single window is its own core
             cores = stored(pieces.groupBy("core").agg(F.sum("n").alias("total")).where("total > 1").select("core"), "cores")
             fewer = stored(pieces.join(cores, "core", "left_semi").select(*cut_schema.fieldNames()), "pieces")
             drop(pieces, cores)
@@ -325,7 +337,7 @@ def count_windows(cut: DataFrame, unit: Unit, kept: list[DataFrame]) -> DataFram
         judged = stored(pieces.join(often, "digest", "left").drop("digest", "core"), "judged")
         drop(pieces, often)
         kept.append(judged)
-        again = judged.where("first is not null and not solved").select("key", "content", "at", (F.length("raw") / step).cast("int").alias("len"))
+        again = judged.where("first is not null and not solved").select("key", "content", "at", F.when(F.pmod("key", F.lit(2)) == 0, F.length("raw")).otherwise(F.length("raw") / kinds_of[1].size).cast("int").alias("len"))
         done = again if done is None else done.union(again)
         names = schema.fieldNames()
         one = judged.where((F.col("first.content") == F.col("content")) & (F.col("first.at") == F.col("at"))).withColumn("solved", F.lit(True)).withColumn("n", F.lit(2).cast("long"))
@@ -342,15 +354,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard:
     drop(distinct)
     once = shared.where("contents = 1").select("key", "content", F.lit(None).cast("binary").alias("spans"))
     different = stored(_with_bytes(shared.where("contents > 1").select("key", "content", "n", "contents", "rid", "start", "len"), docs), "different")
-    parts, kept = [], [different]
-    for unit in units(length):
-        parts.append(sort_shards(unit.rows(different).where(F.col("contents") <= hot), unit, shard, budget).drop("spilled"))
-        too_many = unit.rows(different).where(F.col("contents") > hot)
-        if too_many.limit(1).count():
-            parts.append(count_windows(too_many, unit, kept).drop("spilled"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+    kept = [different]
+    found = sort_shards(different.where(F.col("contents") <= hot), length, shard, budget).drop("spilled")
+    too_many = different.where(F.col("contents") > hot)
+    if too_many.limit(1).count():
+        found = found.union(count_windows(too_many, length, kept).drop("spilled"))
     found = stored(found.where(F.length("spans") > 0).union(once), "found")
     drop(shared, *kept)
     one = F.struct("start", "len", "spans", (F.pmod("key", F.lit(2)) == 1).alias("words"))
