@@ -325,9 +325,11 @@ def count_windows(cut: DataFrame, length: int, kept: list[DataFrame]) -> DataFra
             spans = [_packed([(s["at"], s["at"] + s["len"]) for s in found]) for found in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array([0] * len(spans), pa.int64())], FOUND.fieldNames())
 
-    pending, done = cut.select("key", "content", "n", "raw").mapInArrow(start, schema), None
+    pending, done, judged = cut.select("key", "content", "n", "raw").mapInArrow(start, schema), None, None
     for widths in ((64, 16), (16, 8), (4, 4), (1, 1)):  # of bytes, of words
         pieces = stored(pending.mapInArrow(cutter(widths), cut_schema), "pieces")
+        if judged is not None:
+            drop(judged)
         if widths != (1, 1):  # a single window is its own core
             cores = stored(pieces.groupBy("core").agg(F.sum("n").alias("total")).where("total > 1").select("core"), "cores")
             fewer = stored(pieces.join(cores, "core", "left_semi").select(*cut_schema.fieldNames()), "pieces")
@@ -336,12 +338,13 @@ def count_windows(cut: DataFrame, length: int, kept: list[DataFrame]) -> DataFra
         often = stored(pieces.groupBy("digest").agg(F.sum("n").alias("total"), F.min(F.struct("content", "at")).alias("first")).where("total > 1").select("digest", "first"), "often")
         judged = stored(pieces.join(often, "digest", "left").drop("digest", "core"), "judged")
         drop(pieces, often)
-        kept.append(judged)
         again = judged.where("first is not null and not solved").select("key", "content", "at", F.when(F.pmod("key", F.lit(2)) == 0, F.length("raw")).otherwise(F.length("raw") / kinds_of[1].size).cast("int").alias("len"))
+        kept.append(again := stored(again, "again"))
         done = again if done is None else done.union(again)
         names = schema.fieldNames()
         one = judged.where((F.col("first.content") == F.col("content")) & (F.col("first.at") == F.col("at"))).withColumn("solved", F.lit(True)).withColumn("n", F.lit(2).cast("long"))
         pending = judged.where("first is null and not solved").select(*names).union(one.select(*names))
+    drop(judged)
     return done.groupBy("key", "content").agg(F.collect_list(F.struct("at", "len")).alias("found")).mapInArrow(pack, FOUND)
 
 
