@@ -20,15 +20,24 @@ import numpy as np
 
 BATCH = 1 << 17
 BUDGET = 16 << 20
+#: Bytes of spilled blocks that share a file.
+SEGMENT = 4 << 20
 #: Ranges of names that a queue of the shorter strings has about, and suffixes that a range of several names has at least.
 RANGES, RANGE = 256, 1 << 14
 
 
+class _Segment:
+    """A part of the spilled blocks; its file goes with it, once all its blocks are read."""
+
+    def __init__(self):
+        self.file, self.size = tempfile.TemporaryFile(), 0
+
+
 class Spill:
-    """Blocks and arrays, in memory up to a budget, beyond it in files that are gone when this object is."""
+    """Blocks and arrays, in memory up to a budget, beyond it in files that are gone when nothing reads them any more."""
 
     def __init__(self, budget: int = BUDGET):
-        self.left, self.file, self.spilled = budget, None, 0
+        self.left, self.segment, self.spilled = budget, None, 0
 
     def array(self, n: int, kind) -> np.ndarray:
         """An array of zeros. Those beyond the budget are mapped from a file of their own."""
@@ -49,20 +58,23 @@ class Spill:
         if size <= self.left:
             self.left -= size
             return arrays
-        self.file = self.file or tempfile.TemporaryFile()
-        at = self.file.seek(0, 2)
+        if self.segment is None or self.segment.size > SEGMENT:
+            self.segment = _Segment()
+        at, s = self.segment.size, self.segment
+        s.file.seek(at)
         for a in arrays:
-            self.file.write(np.ascontiguousarray(a).data)
+            s.file.write(np.ascontiguousarray(a).data)
+        s.size += size
         self.spilled += size
-        return at, [(a.dtype, len(a)) for a in arrays]
+        return s, at, [(a.dtype, len(a)) for a in arrays]
 
     def get(self, held):
         if isinstance(held[0], np.ndarray):
             self.left += sum(a.nbytes for a in held)
             return held
-        at, kinds = held
-        self.file.seek(at)
-        return tuple(np.frombuffer(self.file.read(k.itemsize * n), k) for k, n in kinds)
+        s, at, kinds = held
+        s.file.seek(at)
+        return tuple(np.frombuffer(s.file.read(k.itemsize * n), k) for k, n in kinds)
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
