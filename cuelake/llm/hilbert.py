@@ -5,8 +5,10 @@ curves' keys are cut into ranges (borders from a bounded sample of SAMPLE vector
 vector is dealt to its range of each curve, every query to that range and its neighbours. Each range ranks its
 candidates by the inner product in double precision on the original vectors; the ranges' best merge per query.
 
-WINDOW of RANGES ranges are searched on each curve, whatever the size of the table: vectors without structure have no
-shorter list that holds nine tenths of the neighbours (README has the measured figures).
+WINDOW of RANGES ranges are searched on each curve at every size of the table: vectors without structure have no shorter
+list that holds nine tenths of the neighbours (README has the measured figures). Only a table with so few vectors that
+a range could not hold a list of k + 1 has fewer ranges. Candidates and queries of a range are compared by tiles, so
+that no task grows with the table.
 
 Equal vectors are searched once: each distinct vector keeps the smallest k + 1 of its ids, which is all that a list of
 k can show. Null, zero and non-finite vectors, and those of another length than the commonest, take no part.
@@ -25,8 +27,8 @@ from cuelake.llm.common import stored
 
 CURVES, DIMS, BITS = 16, 8, 6
 RANGES, WINDOW, SAMPLE = 25, 3, 20_000
-#: Vectors of a range that one task compares at most.
-TILE = 16_384
+#: Candidates and queries of a range that one task compares at most, about.
+TILE, ASKED = 16_384, 4096
 K = 20
 
 
@@ -112,12 +114,14 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     vectors = stored(_distinct(valid, k).select(F.col("ids")[0].alias("rep"), "ids", "embedding"), "vectors")
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"]
-    curves = Curves(_matrix(sample.combine_chunks() if hasattr(sample, "combine_chunks") else sample, d), max(1, min(RANGES, n // 400)))
+    curves = Curves(_matrix(sample.combine_chunks() if hasattr(sample, "combine_chunks") else sample, d), max(1, min(RANGES, n // (k + 1))))
     tiles = -(-n // curves.ranges // TILE) or 1
     schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("rep", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
     window = min(WINDOW, curves.ranges)
 
-    def deal(as_query):
+    def deal(as_query, parts):
+        """parts: tiles that the queries of a range make; every candidate goes to each."""
+
         def task(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -127,11 +131,11 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
                     own = curves.range_of(x, c)
                     if as_query:  # the window stays inside the curve
                         first = np.clip(own - window // 2, 0, curves.ranges - window)
-                        cells = [(first + w) * tiles + t for w in range(window) for t in range(tiles)]
+                        cells = [((first + w) * tiles + t) * parts + reps // tiles % parts for w in range(window) for t in range(tiles)]
                     else:
-                        cells = [own * tiles + reps % tiles]
+                        cells = [(own * tiles + reps % tiles) * parts + u for u in range(parts)]
                     for cell in cells:
-                        yield pa.RecordBatch.from_arrays([pa.array(cell + c * curves.ranges * tiles, pa.int64()), pa.array(np.full(len(reps), as_query)), batch.column(0), batch.column(1)], ["cell", "query", "rep", "embedding"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell + c * curves.ranges * tiles * parts, pa.int64()), pa.array(np.full(len(reps), as_query)), batch.column(0), batch.column(1)], ["cell", "query", "rep", "embedding"])
 
         return task
 
@@ -144,18 +148,21 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
         if not len(base) or not len(q):
             return pa.Table.from_pydict({"q": [], "found": []}, pa.schema(kind))
         m = min(k + 1, len(base))
-        found = []
+        down, near_ids = np.empty((len(q), m)), np.empty((len(q), m), np.int64)
         for i in range(0, len(q), 512):
             s = q[i : i + 512] @ base.T
             near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            exact = (q[i : i + 512][:, None, :] * base[near]).sum(2)
-            found += [[{"down": -v, "rep": r} for v, r in zip(vs, rs)] for vs, rs in zip(exact.tolist(), b_ids[near].tolist())]
-        return pa.Table.from_arrays([pa.array(q_ids), pa.array(found, kind[1][1])], schema=pa.schema(kind))
+            down[i : i + 512] = -(q[i : i + 512][:, None, :] * base[near]).sum(2)
+            near_ids[i : i + 512] = b_ids[near]
+        pairs = pa.StructArray.from_arrays([pa.array(down.ravel()), pa.array(near_ids.ravel())], names=["down", "rep"])
+        found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(q) * m + 1, m), pa.int32()), pairs)
+        return pa.Table.from_arrays([pa.array(q_ids), found], schema=pa.schema(kind))
 
     # The queries' distinct vectors; a hot vector's rows stay apart in this join.
     queries = stored(valid.where(is_query).join(vectors.select("rep", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")), "queries")
     asked = vectors.join(queries.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
-    dealt = vectors.select("rep", "embedding").mapInArrow(deal(False), schema).union(asked.select("rep", "embedding").mapInArrow(deal(True), schema))
+    parts = -(-asked.count() * window // curves.ranges // ASKED) or 1
+    dealt = vectors.select("rep", "embedding").mapInArrow(deal(False, parts), schema).union(asked.select("rep", "embedding").mapInArrow(deal(True, parts), schema))
     ranked = dealt.groupBy("cell").applyInArrow(rank, "q long, found array<struct<down: double, rep: long>>")
     # At most CURVES * WINDOW * tiles lists of k + 1 per query.
     best = ranked.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
