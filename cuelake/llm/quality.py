@@ -95,6 +95,9 @@ def votes(x: np.ndarray, model: dict) -> np.ndarray:
     sims = q @ model["vectors"].T
     k = min(K, sims.shape[1])
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, near, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((sims == least).sum(1) > (np.take_along_axis(sims, near, 1) == least).sum(1)):  # ties across the cut
+        near[i] = np.argsort(-sims[i], kind="stable")[:k]
     s = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** POWER
     out = ((s * model["labels"][near]).sum(1) + 0.2 * model["prior"]) / (s.sum(1) + 0.2)
     return np.where(norm > 1e-9, np.clip(out, 0, 1), model["prior"])
