@@ -6,6 +6,7 @@ and filters fold into tables over byte pairs, which give the same sums by look-u
 
 The network is fitted on at most PER_LANGUAGE texts of each language, chosen by hash (a documented bound); for each of
 them at most TRAIN_WINDOWS windows, evenly spread. Prediction covers all bytes of all texts.
+More languages than `most` are an error, as each has its own column in the network and its own texts in the sample.
 A null text, or one without a letter, gets `und` and score 0. Without any labelled text everything is `und`.
 """
 
@@ -121,10 +122,12 @@ def probabilities(x: np.ndarray, t: dict) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteConvNet | None:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MAX_LANGUAGES) -> ByteConvNet | None:
     """labelled: doc_id, text, lang. The languages' counts and at most about per_language texts of each reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages; raise `most`")
     if not counts:
         return None
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000))
