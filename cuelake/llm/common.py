@@ -78,6 +78,17 @@ def drop(*tables: DataFrame) -> None:
         remove(_LEFT.pop(df.stored_at), df.stored_at)
 
 
+def left() -> set[str]:
+    """Stored tables that are there now."""
+    return set(_LEFT)
+
+
+def drop_since(before: set[str]) -> None:
+    """Removes the tables stored since `left` was called."""
+    for path in set(_LEFT) - before:
+        remove(_LEFT.pop(path), path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -140,6 +151,15 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], di
     return df.select(*sent).mapInArrow(run, schema)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, or the first of name_1, name_2 ... that no column has; names differ by more than case."""
+    low, i, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in low:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
 def bucket(col: str, n: int):
     """The remainder that fixes train and test folds: unsigned crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -12,7 +12,6 @@ match nothing, nor do null texts. Items are sent to the executors in blocks of a
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import map_texts
+from cuelake.llm.common import drop, free_name, map_texts, stored
 
 SHINGLE, SHARE = 5, 0.8
 BLOCK_CHARS = 16_000_000
@@ -118,23 +117,35 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [benchmark.where(place == b) if n > 1 else benchmark for b in range(n)]
 
 
-def flag(df: DataFrame, benchmark: DataFrame, text_col: str = "text", share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
-    """Adds `matches`, an array of (item_id, n_shared, n_shingles)."""
-    columns = [c for c in (df.columns if keep is None else keep) if c != "matches"]
-    out, parts = df, []
-    for i, block in enumerate(_blocks(benchmark.select(F.col("item_id").cast("long"), "text"))):
-        items = [(r.item_id, r.text) for r in block.collect() if r.item_id is not None]  # one block: BLOCK_CHARS at most
-        name = f"__matches_{i}"
+def flag(df: DataFrame, benchmark: DataFrame, text_col: str = "text", share: float = SHARE, keep: list[str] | None = None, into: str = "matches") -> DataFrame:
+    """Adds a column `into`, an array of (item_id, n_shared, n_shingles); one of that name is replaced.
 
-        def task(items=items, name=name):
-            probe = Signatures(items, share)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())]))
-            return lambda texts: {name: pa.array([[{"item_id": x, "n_shared": y, "n_shingles": z} for x, y, z in probe.matches(t)] for t in texts], kind)}
+    A block of items at a time is broadcast. With several, the rows found so far are written between two blocks, so that
+    driver and executors never hold more than one.
+    """
+    spark = df.sparkSession
+    columns = [c for c in (df.columns if keep is None else keep) if c != into]
+    sent = list(dict.fromkeys([*columns, text_col]))
+    out, now, blocks, sofar = df.select(*sent), free_name(sent, "__found"), _blocks(benchmark.select(F.col("item_id").cast("long"), "text")), None
+    for i, block in enumerate(blocks):
+        items = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect() if r.item_id is not None])  # BLOCK_CHARS at most
 
-        parts.append(name)
-        out = map_texts(out, text_col, task, [T.StructField(name, MATCHES)], list(dict.fromkeys([*columns, text_col, *parts[:-1]])))
-    found = F.col(parts[0]) if len(parts) == 1 else F.array_sort(reduce(lambda a, b: F.concat(a, b), map(F.col, parts)))
-    return out.select(*columns, found.alias("matches"))
+        def task(items=items):
+            probe = Signatures(items.value, share)
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())]))
+            return lambda texts: {now: pa.array([[{"item_id": x, "n_shared": y, "n_shingles": z} for x, y, z in probe.matches(t)] for t in texts], kind)}
+
+        found = map_texts(out, text_col, task, [T.StructField(now, MATCHES)], out.columns)
+        whole = F.col(now) if i == 0 else F.array_sort(F.concat(into_, now))
+        into_ = free_name(sent, into)
+        out = found.select(*sent, whole.alias(into_))
+        if len(blocks) > 1:
+            out = stored(out, "matches")
+            items.unpersist()
+            if sofar is not None:
+                drop(sofar)
+            sofar = out
+    return out.select(*columns, F.col(into_).alias(into))
 
 
 def pairs(df: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
