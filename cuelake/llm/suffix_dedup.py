@@ -183,12 +183,12 @@ RUN = T.StructType([T.StructField("rid", T.LongType()), T.StructField("start", T
 FOUND = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("spans", T.BinaryType()), T.StructField("spilled", T.LongType())])
 
 
-def row_keys(df: DataFrame) -> DataFrame:
-    """Adds rid, unique per row: doc_id if it is, else a number from a written copy of the rows."""
+def row_keys(df: DataFrame, name: str = "rid") -> DataFrame:
+    """Adds a number unique per row: doc_id if it is one, else a number from a written copy of the rows."""
     counts = df.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if counts.n == counts.d:
-        return df.withColumn("rid", F.col("doc_id").cast("long"))
-    return stored(df.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+        return df.withColumn(name, F.col("doc_id").cast("long"))
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,42 @@ def test_neighbours_recall(spark):
     assert hit / n >= 0.9
 
 
+def test_neighbours_curves(spark, monkeypatch):
+    """Recall where the curves restrict the search: 20,000 vectors without structure, 25 ranges, queries by tiles."""
+    monkeypatch.setattr(hilbert, "ASKED", 64)
+    monkeypatch.setattr(hilbert, "TILE", 500)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8)
+    out = collections.defaultdict(set)
+    for r in hilbert.search(df, F.col("vec_id") % 50 == 0).collect():
+        out[r.query_id].add(r.vec_id)
+    y = x.astype(np.float64)
+    s = y[::50] @ y.T
+    s[np.arange(400), np.arange(0, 20_000, 50)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(out[50 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.9
+
+
+def test_neighbours_query(spark):
+    """The query against brute force on its whole table."""
+    rows = common.table(spark, SF, "embeddings").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    out = collections.defaultdict(list)
+    for r in got(spark, "op2_hilbert_neighbours"):
+        out[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(out) == sorted(i for i in ids.tolist() if i % 20 == 0)
+    hit = []
+    for q, found in out.items():
+        s = x @ x[ids == q][0]
+        best = [i for i in ids[np.lexsort((ids, -s))].tolist() if i != q][:20]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, len(best) + 1))
+        assert all(abs(y - s[ids == v][0]) < 1e-12 for _, v, y in found)
+        assert [(-y, v) for _, v, y in sorted(found)] == sorted((-y, v) for _, v, y in found)
+        hit.append(len(set(best) & {v for _, v, _ in found}) / len(best))
+    assert np.mean(hit) >= 0.9
+
+
 def test_neighbours_edges(spark):
     schema = "vec_id long, embedding array<float>"
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [0.5, None]), (20, [1.0, 0.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0])]
@@ -431,6 +468,63 @@ def test_classifier_edges(spark, odd):
     assert {r.lang_pred for r in language_id.predict(odd, language_id.fit(odd.where("false"))).collect()} == {"und"}
 
 
+def test_quality_query(spark, documents):
+    """The query's scores against a plain vote of the nearest labelled documents, ties to the smaller id."""
+    rows = {r["doc_id"]: r for r in got(spark, "op6_quality")}
+    docs = common.table(spark, SF, "documents").select("doc_id", "text")
+    labels = common.table(spark, SF, "labels").select("doc_id", "quality").where(common.bucket("doc_id", 5) != 0)
+    m = quality.fit(docs, labels)
+    for i, text in documents:
+        q = (quality.counts(text)[None] * m["idf"]) @ m["basis"]
+        if not np.linalg.norm(q) > 1e-9:
+            assert rows[i]["score"] == m["prior"]
+            continue
+        sims = (q / np.linalg.norm(q)) @ m["vectors"].T
+        near = sorted(range(len(sims[0])), key=lambda j: (-round(float(sims[0, j]), 5), j))[: quality.K]
+        s = [max(0.0, float(sims[0, j])) ** quality.POWER for j in near]
+        want = (sum(v * m["labels"][j] for v, j in zip(s, near)) + 0.2 * m["prior"]) / (sum(s) + 0.2)
+        assert abs(rows[i]["score"] - want) < 0.02 and rows[i]["predicted"] == int(rows[i]["score"] >= 0.3)
+
+
+def test_quality_ties():
+    """Of equally near labelled vectors those with the smaller id vote."""
+    n = 3 * quality.K
+    basis = np.zeros((quality.COLS, quality.DIM), np.float32)
+    basis[:, 0] = 1
+    vectors = np.zeros((n, quality.DIM), np.float32)
+    vectors[:, 0] = 1
+    m = {"idf": np.ones(quality.COLS, np.float32), "basis": basis, "vectors": vectors, "labels": np.array([1.0] * quality.K + [0.0] * (n - quality.K)), "prior": 0.5}
+    assert quality.votes(np.ones((1, quality.COLS), np.float32), m)[0] > 0.99
+
+
+def test_language_query(spark, documents):
+    """The query against the network's plain forward pass over every window of every text."""
+    rows = {r["doc_id"]: r for r in got(spark, "op10_language")}
+    learned = common.table(spark, SF, "documents").select("doc_id", "text", "lang").where(common.bucket("doc_id", 4) != 2)
+    net = language_id.fit(learned)
+    for i, text in documents:
+        if not any(map(str.isalpha, text)):
+            assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+            continue
+        p = net._forward(language_id.windows(text.encode()))[-1].mean(0)
+        assert abs(rows[i]["score"] - p.max()) < 1e-3 and (rows[i]["lang_pred"] == net.labels[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3)
+
+
+def test_too_many_languages(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert language_id.fit(df).labels == ["l0", "l1", "l2", "l3"]
+    with pytest.raises(ValueError):
+        language_id.fit(df, most=3)
+
+
+def test_empty_tables(spark, odd):
+    """Tables without rows give tables without rows."""
+    none, labels = odd.where("false"), spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, quality int")
+    assert quality.score(none, quality.fit(none, labels)).count() == quality.score(none, quality.fit(odd, labels)).count() == 0
+    assert language_id.predict(none, language_id.fit(odd)).count() == language_id.predict(none, language_id.fit(none)).count() == 0
+    assert encode_documents(none, queries.vocabulary(queries.WORD_MODEL), decode=True).count() == 0
+
+
 def test_folded_network_is_the_network():
     net = language_id.ByteConvNet(["a", "b", "c"])
     x = np.random.default_rng(0).integers(0, 256, (40, language_id.WINDOW)).astype(np.uint8)
@@ -487,8 +581,13 @@ def test_decontaminate_partial_and_short(spark, monkeypatch):
     want = plain_containment(docs, items)
     cut = lambda d: sorted(tuple(r)[:4] for r in d.collect())
     assert cut(decontaminate.pairs(a, b)) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1500)
-    assert cut(decontaminate.pairs(a, b)) == want
+    before = common.left()
+    for block in (1500, 300):  # several blocks, and about thirty; their tables go but for the last
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+        assert cut(decontaminate.pairs(a, b)) == want
+    assert len(common.left() - before) == 2
+    clash = decontaminate.flag(a.withColumn("__found", F.lit("x")).withColumn("matches", F.lit("y")), b, into="own")
+    assert clash.columns == ["doc_id", "text", "__found", "matches", "own"] and {tuple(r) for r in clash.select("__found", "matches").collect()} == {("x", "y")}
     assert decontaminate.pairs(a, b.where("false")).count() == 0
 
 

@@ -8,7 +8,23 @@ import corpus_pipeline
 from cuelake.llm import common, near_copies, pii, queries, quality, simhash
 from cuelake.llm.sentencepiece_ops import decode_documents
 from tests.conftest import SF
-from tests.llm.test_operators import plain_components, plain_containment, plain_fingerprint
+from tests.llm.test_operators import plain_containment
+
+
+def plain_near_copies(texts):
+    """For each text the first of those that links of a five-word Jaccard similarity of 0.8 or more join it with."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    holders, group = {}, list(range(len(texts)))
+    for b, s in enumerate(sets):
+        near = {a for x in s for a in holders.get(x, ())} if s else {a for a in range(b) if not sets[a]}
+        for a in near:
+            if len(sets[a] & s) >= 0.8 * len(sets[a] | s):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+        for x in s:
+            holders.setdefault(x, []).append(b)
+    return group
 
 
 def test_stages(spark):
@@ -24,9 +40,9 @@ def test_stages(spark):
     assert len(good - {r.doc_id for r in one.collect()}) <= 0.02 * len(good)
 
     two = common.stored(corpus_pipeline.drop_near_duplicates(spark, one, SF), "t")
-    rows = one.select("doc_id", "text").collect()
-    comps = plain_components({r.doc_id: plain_fingerprint(r.text) for r in sorted(rows)})
-    assert sorted(r.doc_id for r in two.collect()) == sorted(set(comps.values())) and two.columns == columns
+    rows = sorted(one.select("doc_id", "text").collect())
+    want = {rows[g].doc_id for g in plain_near_copies([r.text for r in rows])}
+    assert {r.doc_id for r in two.collect()} == want and two.count() == len(want) and two.columns == columns
 
     three = common.stored(corpus_pipeline.drop_contaminated(spark, two, SF), "t")
     items = [tuple(r) for r in common.table(spark, SF, "benchmark").collect()]
@@ -47,16 +63,28 @@ def test_stages(spark):
 
 
 def test_stage_edges(spark):
-    """Nulls, repeated rows, an empty table and clashing columns."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, matches string, piece_ids string, rid long"
-    rows = [(1, None, None, None, None, 0.1, 1, "m", "p", 1), (2, "", "en", "s", 0, 0.2, 2, "m", "p", 2), (3, "some words of text", "en", "s", 18, 0.3, 3, "m", "p", 3), (3, "some words of text", "en", "s", 18, 0.3, 3, "m", "p", 3), (None, "other words", "en", "s", 11, 0.4, 4, "m", "p", 4)]
-    for data in (rows, []):
+    """Nulls, repeated rows, an empty table and clashing columns, whose values stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, __score string, fp long, matches string, piece_ids string, n_ids string, rid long, __row long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    one = lambda i, text, n: (i, text, "en", "s", len(text or ""), n / 10, f"s{n}", n, f"m{n}", f"p{n}", f"n{n}", n, -n)
+    rows = [one(1, None, 1), one(2, "", 2), one(3, "some words of text", 3), one(3, "some words of text", 3), one(3, "another text under the same id", 5), one(None, "other words", 4), one(None, "and yet others", 6)]
+    for data, kept in ((rows, [1, 3, 4, 5, 6]), ([], [])):
         docs = spark.createDataFrame(data, schema)
         for name, stage in corpus_pipeline.STAGES:
             docs = common.stored(stage(spark, docs, SF), "edge")
-            assert name == "encoding" or docs.columns == [f.split()[0] for f in schema.split(", ")]
-        assert docs.count() == (3 if data else 0)  # one of the two texts without words and of the repeated rows, and the one without an id
-    assert simhash.near_duplicates(spark.createDataFrame(rows, schema)).where(F.col("component_id") == 3).count() == 2
+            assert docs.columns == names + ["piece_ids_1", "n_ids_1"] * (name == "encoding")
+        out = docs.collect()
+        assert sorted(r.fp for r in out) == kept
+        for r in out:
+            assert (r["score"], r["__score"], r.matches, r.piece_ids, r.n_ids, r.rid, r["__row"]) == (r.fp / 10, f"s{r.fp}", f"m{r.fp}", f"p{r.fp}", f"n{r.fp}", r.fp, -r.fp)
+            assert len(r.piece_ids_1) == 4 * r.n_ids_1 and bool(r.n_ids_1) == bool(r.text)
+    assert simhash.near_duplicates(spark.createDataFrame(rows, schema)).where(F.col("component_id") == 3).count() == 3
+
+
+def test_run_removes_its_tables(spark):
+    before = common.left()
+    corpus_pipeline.run(spark, SF)
+    assert common.left() == before
 
 
 @pytest.mark.parametrize("tile", [512, 8])
@@ -79,15 +107,8 @@ def test_near_copies(spark, monkeypatch, tile):
     for i in range(0, 120, 6):
         chain[i * 2] = "changed"
         texts.append(" ".join(chain))
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
-    group = list(range(len(texts)))
-    far = 0
-    for b in range(len(texts)):
-        for a in range(b):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                far += bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1") > simhash.RADIUS
-                old, new = max(group[a], group[b]), min(group[a], group[b])
-                group = [new if g == old else g for g in group]
+    group = plain_near_copies(texts)
+    far = sum(bin(simhash.fingerprint(texts[g]) ^ simhash.fingerprint(t)).count("1") > simhash.RADIUS for g, t in zip(group, texts))
     assert far > 10 and len(set(group)) > 12
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(group)
