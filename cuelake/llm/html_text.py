@@ -5,7 +5,8 @@ reads hashed tag-path and word vectors block by block, in both directions, so th
 page; blocks labelled as content make the text.
 
 The network is trained on pages put together here from the grammar below (layouts, wrappers, boilerplate of all kinds),
-whose labels are known; no text of the corpus is needed for the fit. Prediction reads every block of every page.
+whose labels are known; no text of the corpus is needed for the fit. Its weights are stored beside this module.
+Prediction reads every block of every page, at any depth and length.
 
 Null and empty pages give the empty text.
 """
@@ -13,6 +14,7 @@ Null and empty pages give the empty text.
 from __future__ import annotations
 
 import html
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -26,22 +28,57 @@ from cuelake.llm.common import map_texts
 TAG_COLS, WORD_COLS, PLAIN_COLS = 160, 48, 8
 COLS = TAG_COLS + WORD_COLS + PLAIN_COLS
 HIDDEN = 16
-#: Labels of a path that are read, and open elements that an end tag may close at once.
-PATH, DEEPEST = 24, 512
 #: Fixed by HTML: elements without an end tag, elements whose content is no text, and elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Fixed by HTML: elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Fixed by HTML: elements through which an end of a paragraph does not reach.
+SCOPES = frozenset("button caption html marquee object table td th template".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, labels of the open elements from the outermost, share of the text in links) of each block with text."""
-    out, stack, parts, linked = [], [], [], 0
+class Path:
+    """The open elements. Each knows what its whole path holds, so a block's path costs the same at any depth."""
+
+    def __init__(self):
+        self.names, self.bits, self.marks, self.last, self.open = [], [0], [0], [""], {}
+
+    def push(self, name: str, marks: list[str]) -> None:
+        bits = self.bits[-1]
+        for mark in marks:
+            bits |= 1 << _col(mark, TAG_COLS)
+            if mark[:6] == "class:" or mark[:3] == "id:":
+                bits |= 1 << _col("any:" + mark.split(":")[1], TAG_COLS)
+        self.open.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.bits.append(bits)
+        self.marks.append(self.marks[-1] + len(marks))
+        self.last.append(marks[-1])
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of this name and all within it; without one, nothing."""
+        if self.open.get(name):
+            for _ in range(len(self.names) - self.open[name][-1]):
+                self.open[self.names.pop()].pop()
+                self.bits.pop(), self.marks.pop(), self.last.pop()
+
+    def in_paragraph(self) -> bool:
+        p = self.open.get("p")
+        return bool(p) and all(not self.open.get(s) or self.open[s][-1] < p[-1] for s in SCOPES)
+
+    def seen(self) -> tuple[int, int]:
+        """Columns of the whole path as bits, and its number of marks."""
+        last = 1 << _col("last:" + self.last[-1], TAG_COLS) if self.names else 0
+        return self.bits[-1] | last, self.marks[-1]
+
+
+def blocks(page: str | None) -> list[tuple[str, tuple[int, int], float]]:
+    """(text, what the path of open elements holds, share of the text in links) of each block with text."""
+    out, path, parts, linked = [], Path(), [], 0
     in_link = 0
     skip_to = 0
 
@@ -49,15 +86,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, tuple([x for _, marks in stack[-PATH:] for x in marks][-PATH:]), min(1.0, linked / len(text))))
+            out.append((text, path.seen(), min(1.0, linked / len(text))))
         parts, linked = [], 0
 
-    def close(name):
-        for i in range(len(stack) - 1, max(-1, len(stack) - DEEPEST - 1), -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                return
-
     page = page or ""
     for m in TOKEN.finditer(page):
         if m.start() < skip_to:
@@ -78,7 +109,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                 continue
             flush()
             in_link = 0
-            close(name)
+            path.close(name)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, m.end())
@@ -94,14 +125,14 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         in_link = 0
         if name in VOID:
             continue
-        if name in ENDS_P and any(x == "p" for x, _ in stack[-3:]):
-            close("p")
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            stack.pop()
+        if name in ENDS_P and path.in_paragraph():
+            path.close("p")
+        elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and path.names and path.names[-1] == name:
+            path.close(name)
         marks = [name]
         for kind, *values in ATTR.findall(t):
             marks += [f"{kind.lower()}:{w}" for v in values for w in re.split(r"[^a-z]+", v.lower()) if w]
-        stack.append((name, marks))
+        path.push(name, marks)
     flush()
     return out
 
@@ -111,23 +142,17 @@ def _col(token: str, n: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % n
 
 
-def vectors(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def vectors(found: list[tuple[str, tuple[int, int], float]]) -> np.ndarray:
     """Rows of hashed features, one per block."""
     x = np.zeros((len(found), COLS), np.float32)
-    for i, (text, path, linked) in enumerate(found):
+    for i, (text, (bits, marks), linked) in enumerate(found):
         row = x[i]
-        for token in path:
-            row[_col(token, TAG_COLS)] = 1
-            if token[:6] == "class:" or token[:3] == "id:":
-                row[_col("any:" + token.split(":")[1], TAG_COLS)] = 1
-        if path:
-            row[_col("last:" + path[-1], TAG_COLS)] = 1
+        row[:TAG_COLS] = np.unpackbits(np.frombuffer(bits.to_bytes(TAG_COLS // 8, "little"), np.uint8), bitorder="little")
         words = text.lower().split()
-        weight = 1 / np.sqrt(len(words))
-        for w in words if len(words) < 400 else set(words):
-            row[TAG_COLS + _col(w, WORD_COLS)] += weight * 0.2
+        cols = np.fromiter((_col(w, WORD_COLS) for w in words), np.int64, len(words))
+        row[TAG_COLS : TAG_COLS + WORD_COLS] = np.bincount(cols, minlength=WORD_COLS) * (0.2 / np.sqrt(len(words)))
         n = len(text)
-        row[-PLAIN_COLS:] = (linked, n < 25, 25 <= n < 80, n >= 80, n >= 300, text[-1] in ".!?", len(path) / 10, "©" in text)
+        row[-PLAIN_COLS:] = (linked, n < 25, 25 <= n < 80, n >= 80, n >= 300, text[-1] in ".!?", np.log1p(marks) / 3, "©" in text)
     return x
 
 
@@ -183,7 +208,7 @@ def _grammar(rng) -> tuple[list[tuple[str, bool]], str]:
         p = []
         if rng.random() < 0.8:
             p.append(f"<h1>{say(1, 12)}</h1>")
-        for _ in range(int(rng.integers(1, 9))):
+        for _ in range(int(rng.integers(1, 9) if rng.random() < 0.8 else rng.integers(9, 60))):
             s = say(*pick((1, 6), (4, 30), (10, 90)))
             p.append(pick(lambda: f"<p>{s}</p>", lambda: f"<p>{s}", lambda: f"<p><b>{s}<br>", lambda: f"<p>{s}</p>", lambda: f"<h2>{say(2, 8)}</h2><p>{s}</p>", lambda: f"<ul><li>{say(3, 20)}</li><li>{say(3, 20)}</li></ul>", lambda: f"<blockquote>{s}</blockquote>", lambda: f"<p class='{word()}'>{s}</p>", lambda: f"<pre>{s}</pre>", lambda: f"<table><tr><td>{say(2, 9)}</td><td>{say(1, 5)}</td></tr></table>", lambda: f"<div>{s}</div>", lambda: f"<figure><figcaption>{say(3, 12)}</figcaption></figure>")())
         return p
@@ -269,7 +294,7 @@ class BiLstm:
                 out[i] = p[: len(rows[i]), j]
         return out
 
-    def train(self, pages: int = 2600, epochs: int = 5, batch: int = 30, rate: float = 0.012, seed: int = 11) -> None:
+    def train(self, pages: int = 4000, epochs: int = 8, batch: int = 30, rate: float = 0.012, seed: int = 11) -> None:
         rng, h = np.random.default_rng(seed), HIDDEN
         data = [e for e in (_example(rng) for _ in range(pages)) if len(e[0])]
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
@@ -316,10 +341,16 @@ class BiLstm:
                     v -= (rate * (1 - t_all / (steps_all + 1)) * (m1 / (1 - 0.9**t_all)) / (np.sqrt(m2 / (1 - 0.99**t_all)) + 1e-7)).astype(np.float32)
 
 
+#: The trained network. `python -m cuelake.llm.html_text` trains it anew and writes it.
+WEIGHTS = os.path.join(os.path.dirname(__file__), "html_weights.npz")
+
+
 @lru_cache(maxsize=1)
 def fit() -> BiLstm:
+    """The stored network; the driver reads it and sends it along."""
     net = BiLstm()
-    net.train()
+    with np.load(WEIGHTS) as held:
+        net.p = {k: held[k] for k in net.p}
     return net
 
 
@@ -337,3 +368,9 @@ def extract(df: DataFrame, net: BiLstm | None = None, html_col: str = "html", ke
         return lambda pages: {"text": [t for i in range(0, len(pages), 256) for t in main_text(pages[i : i + 256], net)]}
 
     return map_texts(df, html_col, task, [T.StructField("text", T.StringType())], keep)
+
+
+if __name__ == "__main__":
+    trained = BiLstm()
+    trained.train()
+    np.savez_compressed(WEIGHTS, **trained.p)

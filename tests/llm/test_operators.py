@@ -611,6 +611,29 @@ def test_html_layouts():
     assert np.mean(np.concatenate([(a >= 0.5) == (y > 0.5) for a, (_, y) in zip(p, pages)])) > 0.97
 
 
+def test_html_training():
+    """A short training from scratch learns most of the grammar; the stored weights come from a longer one."""
+    net, rng = html_text.BiLstm(), np.random.default_rng(9)
+    net.train(pages=500, epochs=4)
+    pages = [html_text._example(rng) for _ in range(80)]
+    assert np.mean(np.concatenate([(a >= 0.5) == (y > 0.5) for a, (_, y) in zip(net.predict([x for x, _ in pages]), pages)])) > 0.9
+
+
+def test_html_paths_of_any_depth():
+    """Marks far up the path, many marks on an element and end tags far below still count."""
+    many = " ".join(f"c{chr(97 + i)}" for i in range(26))
+    inner = f'<div class="{many}">' * 30
+    a, b = (html_text.blocks(f"<{tag}>{inner}<p>same text</p>" + "</div>" * 30 + f"</{tag}><p>after</p>") for tag in ("aside", "article"))
+    assert a[0][1][0] != b[0][1][0] and a[0][1][1] == 30 * 27 + 2
+    assert a[1][1] == b[1][1] == html_text.blocks("<p>after</p>")[0][1]
+    deep = html_text.blocks("<article>" + "<div>" * 3000 + "x</article><p>after</p>")
+    assert deep[1][1] == html_text.blocks("<p>after</p>")[0][1]
+    words = ["one", "two"] * 300
+    long, short = (html_text.vectors(html_text.blocks(f"<p>{' '.join(words[:n])}</p>"))[0] for n in (600, 2))
+    at = slice(html_text.TAG_COLS, html_text.TAG_COLS + html_text.WORD_COLS)
+    assert np.allclose(long[at], short[at] * 300 / np.sqrt(300))
+
+
 def test_html_edges(spark):
     page = '<html><body><div class="cookie-notice"><p>We use cookies.</p></div><article><h1>A &amp; B</h1><p>One <b>bo</b>ld&nbsp;&#8364;<br>line<p>Two<script>no()</script></article><div id="comments"><p>Nice words here</p></div><!-- x > y --><style>p{}</style></body></html>'
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "plain text only"), (5, "<p>unclosed <a href='x>y'>q</a"), (6, "<" * 50 + ">" * 50)], "page_id long, html string")
