@@ -125,7 +125,7 @@ def documents(files: DataFrame, chunks: Column) -> DataFrame:
     )
 
 
-def audio_boundaries(duration: Column, silences: Column, every: float, window: float, most: int = 1000) -> Column:
+def audio_boundaries(duration: Column, silences: Column, every: float, window: float) -> Column:
     """Cut points about `every` seconds, at the silence nearest to the target within the window, never near an end."""
     smallest = min(60.0, every / 4)
     start = F.struct(F.lit(0.0).alias("cursor"), F.lit(False).alias("done"), _empty("array<double>").alias("cuts"))
@@ -138,7 +138,8 @@ def audio_boundaries(duration: Column, silences: Column, every: float, window: f
         stop = s["done"] | (duration - s["cursor"] <= every) | (cut <= s["cursor"]) | (cut >= duration)
         return F.when(stop, F.struct(s["cursor"].alias("cursor"), F.lit(True).alias("done"), s["cuts"].alias("cuts"))).otherwise(F.struct(cut.alias("cursor"), F.lit(False).alias("done"), F.concat(s["cuts"], F.array(cut)).alias("cuts")))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(duration / smallest).cast("int"))))
+    # A cut is at least `smallest` after the one before.
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(duration / smallest).cast("int")))
     return F.aggregate(steps, start, step)["cuts"]
 
 

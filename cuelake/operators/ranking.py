@@ -68,7 +68,7 @@ def rerank(hits: DataFrame, scorer, k: int, keys: tuple[str, ...] = ("query_id",
 
 def stratified(rows: DataFrame, stratum: str, n: int, seed: int) -> DataFrame:
     """About n rows, alike many of each stratum, chosen by hash; topped up from the rest if short."""
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / F.lit(max(rows.select(stratum).distinct().count(), 1))))
     ranked = rows.withColumn("__place", place).withColumn("__r", F.row_number().over(W.partitionBy(stratum).orderBy("__place", "doc_id")))
     return ranked.withColumn("__late", F.col("__r") > quota).orderBy("__late", "__place", "doc_id").limit(n).drop("__place", "__r", "__late")

@@ -14,7 +14,7 @@ from cuelake.functions import web as H
 from cuelake.operators import bm25, chunking, fusion, incremental, metadata, metrics, models, prompt, ranking, vector
 from cuelake.sources import readers, sinks, vtt
 
-#: Variants of a question at most; their number is a bit in a mask.
+#: Variants of a question at most, with itself; their number is a bit in a mask. More are an error.
 MAX_VARIANTS = 63
 
 
@@ -56,10 +56,12 @@ class Engine:
 
     @property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/documents")
+        return sinks.read(self.spark, f"{self.root}/documents")
 
     def ingest(self, folder: str, articles: DataFrame | None = None) -> dict[str, int]:
         """Reads a folder of caption files; only new and modified ones are parsed again. Counts of files by state."""
+        for name in ("documents", "manifest", "states"):
+            sinks.recover(self.spark, f"{self.root}/{name}")
         files = vtt.scan(self.spark, folder)
         old = readers.manifest(self.spark, f"{self.root}/manifest")
         states = incremental.classify_files(old, files)
@@ -85,7 +87,20 @@ class Engine:
         return hits.unionByName(misses.withColumn("embedding", self.embedder(F.col("text"))))
 
     def build_index(self, size: int = models.DIMENSION, distance: str = "Cosine") -> str:
-        return self.index.swap("live", self.embed().withColumn("point_id", X.point_id(F.col("id"))), size, distance)
+        """A new version of vectors and of their texts' postings."""
+        version = self.index.swap("live", self.embed().withColumn("point_id", X.point_id(F.col("id"))), size, distance)
+        old = sinks.folders(self.spark, f"{self.root}/words")
+        self._postings(version)
+        for name in old:
+            sinks.delete(self.spark, f"{self.root}/words/{name}")
+        return version
+
+    def _postings(self, version: str) -> bm25.Index:
+        """The stored postings of a version; made if they are not there in full."""
+        path = f"{self.root}/words/{version}"
+        if sinks.exists(self.spark, f"{path}/stats/_SUCCESS"):
+            return bm25.load(self.spark, path)
+        return bm25.build(self.index.read(version).select(F.col("id").alias("doc_id"), "text"), path)
 
     def info(self) -> dict[str, int]:
         d = self.documents.agg(F.count("*").alias("documents"), F.count_distinct("path").alias("files"), F.count_distinct("video_id").alias("videos"), F.count_if("is_speech_free").alias("speech_free")).first()
@@ -103,12 +118,14 @@ class Engine:
         fetch = ranking.overfetch(k, c.hybrid.enabled, c.hybrid.multiplier, start is not None or end is not None, exclude_speech_free)
         asked = questions.select("query_id", F.lit(0).cast("long").alias("variant"), "text")
         if variants is not None and c.two_stage.enabled:
-            asked = asked.unionByName(variants.where(F.col("variant").between(1, MAX_VARIANTS - 1)).select("query_id", F.col("variant").cast("long"), "text"))
+            if variants.where(F.col("variant").isNull() | ~F.col("variant").between(1, MAX_VARIANTS - 1)).limit(1).count():
+                raise ValueError(f"variants are numbered from 1 to {MAX_VARIANTS - 1}")
+            asked = asked.unionByName(variants.select("query_id", F.col("variant").cast("long"), "text"))
         lists = asked.select((F.col("query_id") * 64 + F.col("variant")).alias("query_id"), "text")
         base = pool.select(F.col("id").alias("doc_id"), "embedding", "text")
         near = vector.knn(lists.withColumn("embedding", self.embedder(F.col("text"))), base, fetch)
         if c.hybrid.enabled:
-            words = bm25.search(lists, base.select("doc_id", "text"), fetch)
+            words = bm25.search(lists, None, fetch, self._postings(self.index.resolve("live")))
             near = fusion.rrf(words, near, k=c.hybrid.rrf_k, limit=fetch) if c.hybrid.method == "rrf" else fusion.weighted(near, words, c.hybrid.bm25_weight, limit=fetch)
         split = near.select(F.floor(F.col("query_id") / 64).cast("long").alias("query_id"), (F.col("query_id") % 64).alias("variant"), "doc_id", "score", "rank")
         if variants is None or not c.two_stage.enabled:

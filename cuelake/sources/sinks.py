@@ -16,17 +16,55 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a publication that broke off between its two renames: the table is the fresh one, which was written in full, else the old one."""
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        return
+    for kind in ("new", "old"):
+        for status in fs.globStatus(_fs(spark, f"{path}.{kind}-*")[1]) or []:
+            found = status.getPath()
+            if kind == "old" or fs.exists(_fs(spark, f"{found.toString()}/_SUCCESS")[1]):
+                fs.rename(found, target)
+                return
+
+
+def read(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A published table."""
+    recover(spark, path)
+    return spark.read.format(kind).load(path)
+
+
 def publish(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes beside the old table and swaps by renaming, so that a plan may read the path it replaces."""
+    """Writes beside the old table and swaps by renaming, so that a plan may read the path it replaces.
+
+    Old and fresh table are both whole whenever a rename is due; `read` and the next `publish` end a swap that broke off.
+    """
     spark, fresh, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    recover(spark, path)
     df.write.format(kind).save(fresh)
     fs, target = _fs(spark, path)
     had = fs.exists(target)
     if had:
         fs.rename(target, _fs(spark, old)[1])
     fs.rename(_fs(spark, fresh)[1], target)
-    if had:
-        fs.delete(_fs(spark, old)[1], True)
+    for status in fs.globStatus(_fs(spark, f"{path}.old-*")[1]) or []:
+        fs.delete(status.getPath(), True)
 
 
 def upsert_points(existing: DataFrame | None, docs: DataFrame) -> DataFrame:
@@ -53,8 +91,7 @@ class Collections:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        fs, p = _fs(self.spark, self._path(name))
-        return fs.exists(p)
+        return exists(self.spark, self._path(name))
 
     def write(self, name: str, rows: DataFrame, size: int, distance: str = "Cosine") -> None:
         distance = distance if distance in self.DISTANCES else "Cosine"
@@ -64,18 +101,17 @@ class Collections:
         publish(rows.withColumn("distance", F.lit(distance)), self._path(name))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.resolve(name)))
+        return read(self.spark, self._path(self.resolve(name)))
 
     def drop(self, name: str) -> None:
-        fs, p = _fs(self.spark, self._path(name))
-        fs.delete(p, True)
+        delete(self.spark, self._path(name))
 
     def names(self) -> list[str]:
-        fs, p = _fs(self.spark, self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("_alias_")) if fs.exists(p) else []
+        return [n for n in folders(self.spark, self.root) if not n.startswith("_alias_") and ".new-" not in n and ".old-" not in n]
 
     def resolve(self, name: str) -> str:
         alias = f"{self.root}/_alias_{name}"
+        recover(self.spark, alias)
         fs, p = _fs(self.spark, alias)
         return self.spark.read.text(alias).first()[0] if fs.exists(p) else name
 

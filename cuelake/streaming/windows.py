@@ -7,12 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "event_id LONG, ts TIMESTAMP, user_id LONG, event_type STRING, value DOUBLE, props STRING"
-
+from cuelake.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one of our own where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cuelake-checkpoints").rstrip("/")
+EVENTS = "event_id LONG, ts TIMESTAMP, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
 def events(spark: SparkSession, sf_dir: str, watermark: str = "90 days") -> DataFrame:

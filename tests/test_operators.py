@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
 from cuelake.functions import web as H
-from cuelake.operators import bm25, chunking, fusion, incremental, metrics, ranking
+from cuelake.operators import bm25, chunking, fusion, incremental, metrics, ranking, vector
 from cuelake.sources import readers, sinks, vtt
 
 
@@ -222,6 +222,56 @@ def test_collections(spark, tmp_path):
         c.write("bad", v, 3)
 
 
+def test_bm25_negative_floor(spark):
+    """With a negative floor documents without a match come first, whatever k is; the whole order is that of all documents."""
+    d = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "a b"), (4, "c"), (5, "a"), (6, "a b c")], "doc_id long, text string")
+    d = d.where("doc_id < 5")
+    q = spark.createDataFrame([(1, "a"), (2, "c"), (3, "none"), (4, "a c")], "query_id long, text string")
+    whole = rows(bm25.search(q, d, 4), "query_id", "rank")
+    assert [r[1] for r in whole if r[0] == 1] == [4, 1, 2, 3]
+    for k in (1, 2, 3):
+        assert rows(bm25.search(q, d, k), "query_id", "rank") == [r for r in whole if r[3] <= k]
+
+
+def test_bm25_stored(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"word{i % 7} common word{i % 3}") for i in range(60)] + [(60, ""), (61, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "word5 common"), (2, "")], "query_id long, text string")
+    index = bm25.build(d, str(tmp_path / "words"))
+    assert rows(bm25.search(q, None, 5, index), "query_id", "rank") == rows(bm25.search(q, d, 5), "query_id", "rank")
+    assert rows(bm25.search(q, None, 5, bm25.load(spark, str(tmp_path / "words"))), "query_id", "rank")[0][1] == 5
+    assert bm25.search(q, d.where("false"), 5).count() == 0
+
+
+def test_knn_ties_and_lengths(spark):
+    """Ties across the cut go to the smaller id; vectors of another length and null ones take no part."""
+    base = [(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(50, [2.0, 0.1]), (51, [1.0]), (52, None), (53, [0.0, 0.0])]
+    b = spark.createDataFrame(base, "doc_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0]), (3, None)], "query_id long, embedding array<double>")
+    got = [r[:3] for r in rows(vector.knn(q, b, 4, "dot"), "query_id", "rank")]
+    assert got == [(1, 50, 2.0), (1, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 51, 3.0)]
+    assert [r[1] for r in rows(vector.knn(q, b, 3, "dot", skip_self=True), "query_id", "rank")] == [50, 2, 3, 51]
+    assert vector.knn(q.where("false"), b, 3).count() == 0
+
+
+def test_audio_boundaries_of_long_files(spark):
+    """More than a thousand cuts."""
+    d = spark.range(1).select(chunking.audio_boundaries(F.lit(90_000.0), F.array(F.lit(61.0)), 60.0, 5.0).alias("c")).first().c
+    assert len(d) > 1400 and d[0] == 61.0 and d[-1] < 90_000
+
+
+def test_publish_recovers(spark, tmp_path):
+    """A swap that broke off between its renames is ended by the next reader: with the fresh table if it is whole, else with the old one."""
+    path = str(tmp_path / "t")
+    sinks.publish(spark.range(5), path)
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    assert sinks.read(spark, path).count() == 5
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    spark.range(7).write.parquet(path + ".new-1")
+    assert sinks.read(spark, path).count() == 7
+    sinks.publish(spark.range(3), path)
+    assert sinks.read(spark, path).count() == 3 and [p.name for p in tmp_path.iterdir() if "old" in p.name] == []
+
+
 def test_publish_reads_what_it_replaces(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     sinks.publish(spark.range(5), path)
