@@ -62,8 +62,8 @@ def chunk_documents(spark, sf_dir):
 
 
 def _files(spark, sf_dir):
-    """A caption file per conversation, with ids, notes, markup and a silent one in ten."""
-    c = table(spark, sf_dir, "conversations").where("conv_id % 10 <> 9")
+    """A caption file per conversation, with ids, notes and markup."""
+    c = table(spark, sf_dir, "conversations")
     said = F.regexp_replace("text", r"\s+", " ")
     stamp = lambda s: F.concat(X.stamp_of(s), F.lit(".500"))
     block = F.concat(F.when(F.col("turn") % 2 == 0, F.concat(F.col("turn").cast("string"), F.lit("\n"))).otherwise("NOTE skip\n"), stamp(F.col("turn") * 7.0), F.lit(" --> "), stamp(F.col("turn") * 7.0 + 4), F.lit(" align:start\n<v "), "role", F.lit(">"), said, F.lit("\n<c.x>end</c>\n"))
@@ -73,12 +73,12 @@ def _files(spark, sf_dir):
 CLEAN = r"trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '<[^>]+>', '', 'g'))"
 
 
-@query(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS rn, turn * 7.0::DOUBLE AS start_s, turn * 7.0::DOUBLE + 4 AS end_s, trim(regexp_replace(concat({CLEAN}, ' end'), '\\s+', ' ', 'g')) AS text FROM conversations WHERE conv_id % 10 <> 9")
+@query(f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS rn, turn * 7.0::DOUBLE AS start_s, turn * 7.0::DOUBLE + 4 AS end_s, trim(regexp_replace(concat({CLEAN}, ' end'), '\\s+', ' ', 'g')) AS text FROM conversations")
 def vtt_parse(spark, sf_dir):
     return V.parse(_files(spark, sf_dir), "conv_id").select("conv_id", "rn", "start_s", "end_s", "text")
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS rn, turn * 7.0::DOUBLE + 10.5 AS start_s, turn * 7.0::DOUBLE + 14.5 AS end_s, 'align:start' AS settings FROM conversations WHERE conv_id % 10 <> 9")
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS rn, turn * 7.0::DOUBLE + 10.5 AS start_s, turn * 7.0::DOUBLE + 14.5 AS end_s, 'align:start' AS settings FROM conversations")
 def vtt_parse_lenient(spark, sf_dir):
     return V.parse_blocks(_files(spark, sf_dir), "conv_id", offset=10.0).select("conv_id", "rn", "start_s", "end_s", "settings")
 

@@ -86,11 +86,13 @@ def session_response(spark, sf_dir):
     return M.response_chunks(paths(spark, sf_dir).select("doc_id", "path"), archive=False)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'local' ELSE 'remote' END AS origin FROM pages WHERE url <> '' AND page_id = (SELECT min(page_id) FROM pages)")
+@query("SELECT key, CASE WHEN bool_or(page_id % 2 = 0) THEN 'local' ELSE 'remote' END AS origin, coalesce(min(url) FILTER (WHERE page_id % 2 = 0), min(url)) AS url FROM (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN url ELSE concat('h', page_id % 50) END AS key FROM pages) GROUP BY key")
 def union_first_wins(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").orderBy("page_id").limit(1).select("page_id", F.lit("h").alias("video_hash"), "url")
+    """Pages without a hash count by their URL."""
+    hashed = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("page_id") % 50).cast("string")))
+    p = table(spark, sf_dir, "pages").select("page_id", hashed.alias("video_hash"), "url")
     local, remote = p.where("page_id % 2 = 0").withColumn("origin", F.lit("local")), p.withColumn("origin", F.lit("remote"))
-    return M.union_first(local, remote).select("page_id", "origin")
+    return M.union_first(local, remote).select(F.coalesce(F.nullif("video_hash", F.lit("")), "url").alias("key"), "origin", "url")
 
 
 @query("SELECT source AS path, (min(doc_id) + 2.0 * min(doc_id)) / 2.0 AS center FROM documents GROUP BY source")

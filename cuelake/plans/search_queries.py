@@ -17,16 +17,16 @@ def docs(spark, sf_dir):
 
 
 def questions(spark, sf_dir):
-    """The first eight words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 8).alias("text"))
+    """Every benchmark item, in full."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 POSTINGS = r"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+')) AS term FROM documents) GROUP BY ALL"
 LENGTHS = r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+')) AS dl FROM documents"
 BM25 = rf"""post AS ({POSTINGS}), lens AS ({LENGTHS}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark) GROUP BY ALL),
+mean AS (SELECT avg(raw) AS m FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw, mean),
+asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark) GROUP BY ALL),
 hits AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN idf USING (term) JOIN post USING (term) JOIN lens USING (doc_id), st GROUP BY ALL),
 every AS (SELECT item_id AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN documents d LEFT JOIN hits h ON h.query_id = item_id AND h.doc_id = d.doc_id),
 bm AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM every)"""
@@ -53,13 +53,17 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("video_id"))
 
 
+#: The stated queries of searches: every row whose id is divisible by 100.
+HUNDREDTH = "doc_id % 100 = 0"
+
+
 def _knn(name, expr, metric):
-    sql = f"""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id, round({expr}, 6) AS score FROM embeddings q, embeddings b WHERE q.vec_id < 20 AND q.vec_id <> b.vec_id)
+    sql = f"""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id, round({expr}, 6) AS score FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id)
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
 
     def run(spark, sf_dir):
         v = vectors(spark, sf_dir)
-        return vector.knn(v.where("doc_id < 20").withColumnRenamed("doc_id", "query_id"), v, 10, metric, skip_self=True)
+        return vector.knn(v.where(HUNDREDTH).withColumnRenamed("doc_id", "query_id"), v, 10, metric, skip_self=True)
 
     run.__name__ = name
     query(sql)(run)
@@ -70,13 +74,26 @@ _knn("knn_cosine", f"list_cosine_similarity({Q}, {D})", "cosine")
 _knn("knn_dot", f"list_inner_product({Q}, {D})", "dot")
 _knn("knn_euclid", f"-list_distance({Q}, {D})", "euclid")
 
-KNN = """kn AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
-FROM (SELECT q.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings b WHERE q.vec_id < 40 AND b.vec_id <> q.vec_id))"""
+def _nearest(condition):
+    return f"""kn AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+FROM (SELECT q.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity({Q}, {D}), 6) AS score FROM embeddings q, embeddings b WHERE {condition} AND b.vec_id <> q.vec_id))"""
+
 
+KNN, KNN_ITEMS = _nearest("q.vec_id % 100 = 0"), _nearest("q.vec_id IN (SELECT item_id FROM benchmark)")
 
-def near(spark, sf_dir, k, below=40):
+
+def near(spark, sf_dir, k, chosen=HUNDREDTH):
     v = vectors(spark, sf_dir)
-    return vector.knn(v.where(F.col("doc_id") < below).withColumnRenamed("doc_id", "query_id"), v, k, skip_self=True)
+    return vector.knn(v.where(chosen).withColumnRenamed("doc_id", "query_id"), v, k, skip_self=True)
+
+
+def embedded(spark, sf_dir):
+    """A vector for each benchmark item: the one of the same number."""
+    return questions(spark, sf_dir).join(vectors(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "embedding"), "query_id")
+
+
+def near_items(spark, sf_dir, k):
+    return vector.knn(embedded(spark, sf_dir), vectors(spark, sf_dir), k, skip_self=True)
 
 
 @query("""SELECT CAST(5 AS BIGINT) AS query_id, doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT b.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings b WHERE q.vec_id = 5 AND b.vec_id <> 5) QUALIFY rank <= 8""")
@@ -98,38 +115,35 @@ def hyde_blend(spark, sf_dir):
     return d.select("vec_id", F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[63], 6).alias("last"), F.round(vector.norm(F.col("x")), 6).alias("length"))
 
 
-HYBRID = f"WITH {BM25}, {KNN}"
+HYBRID = f"WITH {BM25}, {KNN_ITEMS}"
 
 
-@query(f"{HYBRID}, u AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM kn WHERE rank <= 20 AND query_id IN (SELECT item_id FROM benchmark)), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10")
+@query(f"{HYBRID}, u AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM kn WHERE rank <= 20), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10")
 def hybrid_search(spark, sf_dir):
     """The flagship: each benchmark item as a text query over the documents (BM25) fused with the nearest vectors (one vector stands for each query)."""
     from cuelake.plans.search import hybrid
 
-    q = questions(spark, sf_dir)
-    v = vectors(spark, sf_dir)
-    embedded = q.where("query_id < 40").join(v.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id")
-    return hybrid(q, embedded, docs(spark, sf_dir), v, k=10, multiplier=2)
+    return hybrid(questions(spark, sf_dir), embedded(spark, sf_dir), docs(spark, sf_dir), vectors(spark, sf_dir), k=10, multiplier=2)
 
 
 @query(f"{HYBRID}, a AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS v FROM kn WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)), b AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS w FROM bm WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, round(0.7::DOUBLE * coalesce(v, 0.1) + 0.3 * coalesce(w, 0.1), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * coalesce(v, 0.1) + 0.3 * coalesce(w, 0.1), 6) DESC, doc_id) AS INTEGER) AS rank FROM a FULL JOIN b USING (query_id, doc_id)")
 def weighted_fusion(spark, sf_dir):
-    return fusion.weighted(near(spark, sf_dir, 20), bm25.search(questions(spark, sf_dir), docs(spark, sf_dir), 20))
+    return fusion.weighted(near_items(spark, sf_dir, 20), bm25.search(questions(spark, sf_dir), docs(spark, sf_dir), 20))
 
 
 @query(f"{HYBRID} SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM kn WHERE rank <= 10) GROUP BY query_id, doc_id")
 def rrf_fusion(spark, sf_dir):
     """All fused rows, not cut to k."""
-    return fusion.rrf(bm25.search(questions(spark, sf_dir), docs(spark, sf_dir), 10), near(spark, sf_dir, 10))
+    return fusion.rrf(bm25.search(questions(spark, sf_dir), docs(spark, sf_dir), 10), near_items(spark, sf_dir, 10))
 
 
-VARIANTS = f"""WITH {KNN}, va AS (SELECT query_id % 10 AS query_id, query_id // 10 AS variant, doc_id, score, rank FROM kn WHERE rank <= 15 AND query_id < 30)"""
+VARIANTS = f"""WITH {_nearest("q.vec_id % 100 < 3")}, va AS (SELECT query_id - query_id % 100 AS query_id, query_id % 100 AS variant, doc_id, score, rank FROM kn WHERE rank <= 15)"""
 
 
 def variants(spark, sf_dir, k=15):
-    """Three vectors a query: 0 to 9, 10 to 19 and 20 to 29."""
-    n = near(spark, sf_dir, k, below=30)
-    return n.select((F.col("query_id") % 10).alias("query_id"), F.floor(F.col("query_id") / 10).cast("long").alias("variant"), "doc_id", "score", "rank")
+    """Three vectors a query: every vector whose id is divisible by 100, and the two after it."""
+    n, v = near(spark, sf_dir, k, "doc_id % 100 < 3"), F.col("query_id") % 100
+    return n.select((F.col("query_id") - v).alias("query_id"), v.alias("variant"), "doc_id", "score", "rank")
 
 
 @query(f"{VARIANTS}, c AS (SELECT *, count(*) OVER (PARTITION BY query_id, doc_id) AS n FROM va) SELECT query_id, doc_id, round(sum(1 / sqrt(n) / (60 + rank)), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1 / sqrt(n) / (60 + rank)), 9) DESC, doc_id) AS INTEGER) AS rank FROM c GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1 / sqrt(n) / (60 + rank)), 9) DESC, doc_id) <= 12")
@@ -148,15 +162,15 @@ def coverage_merge(spark, sf_dir):
     return fusion.coverage(variants(spark, sf_dir), 6)
 
 
-@query(f"{VARIANTS}, qr AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id <> b.vec_id WHERE q.vec_id < 10) SELECT query_id, round(avg(h), 6) AS intent_coverage FROM (SELECT va.query_id, variant, max(CASE WHEN qr.doc_id IS NOT NULL AND rank <= 5 THEN 1 ELSE 0 END) AS h FROM va LEFT JOIN qr USING (query_id, doc_id) GROUP BY ALL) GROUP BY query_id")
+@query(f"{VARIANTS}, qr AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0) SELECT query_id, round(avg(h), 6) AS intent_coverage FROM (SELECT va.query_id, variant, max(CASE WHEN qr.doc_id IS NOT NULL AND rank <= 5 THEN 1 ELSE 0 END) AS h FROM va LEFT JOIN qr USING (query_id, doc_id) GROUP BY ALL) GROUP BY query_id")
 def intent_coverage(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return fusion.intent_coverage(variants(spark, sf_dir), label_qrels(v, 10), 5)
+    return fusion.intent_coverage(variants(spark, sf_dir), label_qrels(v), 5)
 
 
-def label_qrels(v, below):
+def label_qrels(v):
     """Vectors with the query's label are relevant."""
-    q = v.where(F.col("doc_id") < below).select(F.col("doc_id").alias("query_id"), "video_id")
+    q = v.where(HUNDREDTH).select(F.col("doc_id").alias("query_id"), "video_id")
     return q.join(v.select("doc_id", "video_id"), "video_id").where("query_id <> doc_id").select("query_id", "doc_id")
 
 
@@ -206,7 +220,7 @@ def prompt_context(spark, sf_dir):
     return context(rows)
 
 
-METRIC_SQL = f"""WITH {KNN}, h AS (SELECT * FROM kn WHERE rank <= 10), qr AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id <> b.vec_id WHERE q.vec_id < 40),
+METRIC_SQL = f"""WITH {KNN}, h AS (SELECT * FROM kn WHERE rank <= 10), qr AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0),
 tot AS (SELECT query_id, count(*) AS n FROM qr GROUP BY query_id), j AS (SELECT h.query_id, h.rank, CASE WHEN qr.doc_id IS NULL THEN 0 ELSE 1 END AS hit, coalesce(n, 0) AS n FROM h LEFT JOIN qr USING (query_id, doc_id) LEFT JOIN tot ON tot.query_id = h.query_id),
 c AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM j), ks AS (SELECT unnest([3, 5, 10]) AS k),
 m AS (SELECT query_id, 'mrr' AS metric, coalesce(1.0 / min(rank) FILTER (WHERE hit = 1), 0)::DOUBLE AS value FROM c GROUP BY query_id UNION ALL
@@ -218,12 +232,12 @@ SELECT query_id, concat('ndcg@', k), CASE WHEN max(n) > 0 THEN sum(CASE WHEN ran
 
 @query(f"{METRIC_SQL} SELECT query_id, metric, round(value, 6) AS value FROM m")
 def retrieval_metrics(spark, sf_dir):
-    return metrics.retrieval_metrics(near(spark, sf_dir, 10), label_qrels(vectors(spark, sf_dir), 40))
+    return metrics.retrieval_metrics(near(spark, sf_dir, 10), label_qrels(vectors(spark, sf_dir)))
 
 
 @query(f"{METRIC_SQL} SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.25), 6) AS p25 FROM (SELECT metric, round(value, 6) AS v FROM m) GROUP BY metric")
 def metric_summary(spark, sf_dir):
-    return metrics.summary(metrics.retrieval_metrics(near(spark, sf_dir, 10), label_qrels(vectors(spark, sf_dir), 40)))
+    return metrics.summary(metrics.retrieval_metrics(near(spark, sf_dir, 10), label_qrels(vectors(spark, sf_dir))))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, quantile_disc(value, 0.95) AS p95_nearest, round(quantile_cont(value, 0.95), 6) AS p95_linear, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type")
@@ -268,9 +282,10 @@ def beir_filtering(spark, sf_dir):
     return kept.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("n_queries"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, source, md5(concat('13:', doc_id)) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) > greatest(1, floor(100 / (SELECT count(DISTINCT source) FROM documents))) AS late FROM d)
+SELECT doc_id, source FROM r ORDER BY late, h, doc_id LIMIT 100""")
 def stratified_sample(spark, sf_dir):
-    """By hash instead of a random generator; Spark's hash has no SQL counterpart."""
+    """By hash instead of a random generator."""
     return ranking.stratified(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 100, 13)
 
 
@@ -311,7 +326,7 @@ def model_stand_ins(spark, sf_dir):
     """Embedding, answer and rerank interfaces with their deterministic stand-ins, and ROUGE-L of the answers."""
     from cuelake.operators import models
 
-    hits = bm25.search(questions(spark, sf_dir).where("query_id < 10"), docs(spark, sf_dir), 5).join(docs(spark, sf_dir), "doc_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
+    hits = bm25.search(questions(spark, sf_dir), docs(spark, sf_dir), 5).join(docs(spark, sf_dir), "doc_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
     again = ranking.rerank(hits, models.overlap(F.col("query"), F.col("text")), 3)
     answers = again.select("query_id", "doc_id", "rank", models.extract_answer(F.col("query"), F.col("text")).alias("answer"), models.embed(F.col("text")).alias("embedding"), "query")
     return answers.select("query_id", "doc_id", "rank", "answer", F.size("embedding").alias("dimension"), F.round(metrics.rouge_l(F.col("answer"), F.col("query")), 6).alias("rouge_l"))

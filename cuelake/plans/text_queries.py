@@ -139,12 +139,12 @@ def timestamps(spark, sf_dir):
     """SELECT item_id, CASE WHEN regexp_matches(q, '(^|[^\\p{L}\\p{N}_])(recent|recently|latest|last|new|current|today|yesterday|недавн|последн|новый|свежий|актуальн|сегодня|вчера)($|[^\\p{L}\\p{N}_])')
 OR regexp_matches(q, 'this week|this month|this year|на этой неделе|в этом месяце|в этом году') THEN 'recent' WHEN regexp_matches(q, '(^|[^\\p{L}\\p{N}_])20[0-9]{2}($|[^\\p{L}\\p{N}_])') THEN 'specific' ELSE 'none' END AS sensitivity,
 CASE WHEN item_id % 4 IN (0, 3) THEN '2024-01-02' END AS date_from, CASE WHEN item_id % 4 IN (0, 3) THEN '2024-02-01' END AS date_to
-FROM (SELECT item_id, lower(concat(substr(text, 1, 30), CASE item_id % 4 WHEN 0 THEN ' latest news' WHEN 1 THEN ' in May 2023.' WHEN 2 THEN ' renewed недавно' ELSE ' THIS month' END)) AS q FROM benchmark)"""
+FROM (SELECT item_id, lower(concat(text, CASE item_id % 4 WHEN 0 THEN ' latest news' WHEN 1 THEN ' in May 2023.' WHEN 2 THEN ' renewed недавно' ELSE ' THIS month' END)) AS q FROM benchmark)"""
 )
 def temporal_sensitivity(spark, sf_dir):
     k = F.col("item_id") % 4
     tail = F.when(k == 0, " latest news").when(k == 1, " in May 2023.").when(k == 2, " renewed недавно").otherwise(" THIS month")
-    q = table(spark, sf_dir, "benchmark").select("item_id", X.time_sensitivity(F.concat(F.substring("text", 1, 30), tail)).alias("sensitivity"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", X.time_sensitivity(F.concat("text", tail)).alias("sensitivity"))
     a, b = X.recent_range(F.col("sensitivity"), F.lit("2024-02-01").cast("date"))
     return q.select("item_id", "sensitivity", F.date_format(a, "yyyy-MM-dd").alias("date_from"), F.date_format(b, "yyyy-MM-dd").alias("date_to"))
 
