@@ -20,5 +20,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: Bytes from which a table's few large row groups are worth a shuffle.
+WORTH = 4_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one whose files can't be split among the cores is dealt out first, as one row group is one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < WORTH or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
