@@ -6,21 +6,18 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cuelake.registry import table  # noqa: F401
 from cuelake.scratch import cut, drop, drop_since, left, remove, scratch, shared_dir, stored, write  # noqa: F401
 
 #: Characters of text that a Python worker unpacks at a time; bounds its memory whatever the batch size is.
 SLICE_CHARS = 2_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about `limit` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
