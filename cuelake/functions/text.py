@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,11 +229,44 @@ def human_bytes(n: Column) -> Column:
     )
 
 
+# What makes a provider's failure worth a retry.
+TRANSIENT_STATUS = (429, 500, 502, 503, 504)
+TRANSIENT_MARKS = "rate limit|rate_limit|too many requests|service unavailable|temporary failure|connection error|network error|timeout|internal server error"
+
+
 def transient(status: Column, message: Column) -> Column:
     """Whether a failure is worth a retry."""
-    # Fixed values.
-    marks = "rate limit|rate_limit|too many requests|service unavailable|temporary failure|connection error|network error|timeout|internal server error"
-    return F.coalesce(status.isin(429, 500, 502, 503, 504), F.lit(False)) | F.coalesce(F.lower(message).rlike(marks), F.lit(False))
+    return F.coalesce(status.isin(*TRANSIENT_STATUS), F.lit(False)) | F.coalesce(F.lower(message).rlike(TRANSIENT_MARKS), F.lit(False))
+
+
+def cache_key(path: Column, quality: Column, mtime: Column, size: Column) -> Column:
+    """Key of a video's generated streams: of its path, quality, modification (whole seconds) and size, without the last two if either is null."""
+    stamp = F.concat_ws("|", path, quality, F.floor(mtime).cast("string"), size.cast("string"))
+    return F.sha1(F.when(mtime.isNotNull() & size.isNotNull(), stamp).otherwise(F.concat_ws("|", path, quality)).cast("binary"))
+
+
+def hmac_sha256(message: Column, secret: str) -> Column:
+    """Keyed hash of a text, as lowercase hex digits."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in key) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+def media_token(expires: Column, secret: str) -> Column:
+    """A token that is good until `expires` (whole seconds since 1970); empty without a secret."""
+    if not secret:
+        return F.lit("")
+    payload = expires.cast("long").cast("string")
+    return F.concat(F.lit("v1."), payload, F.lit("."), F.substring(hmac_sha256(payload, secret), 1, 32))
+
+
+def token_valid(token: Column, secret: str, now: Column) -> Column:
+    """Is a media token well formed, rightly signed and not expired? A null one is not."""
+    parts = F.split(token, r"\.")
+    payload, signature = F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3))
+    signed = (F.size(parts) == 3) & (parts[0] == "v1") & (signature == F.substring(hmac_sha256(payload, secret), 1, 32))
+    return F.coalesce(signed & (now < payload.try_cast("long")), F.lit(False))
 
 
 def failure_kind(message: Column) -> Column:

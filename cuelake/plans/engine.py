@@ -48,8 +48,10 @@ def build_documents(files: DataFrame, config: Config, articles: DataFrame | None
 class Engine:
     """Tables under a root folder: documents, manifest and the vector index (an alias that versions swap under)."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder=models.embed):
-        self.spark, self.root, self.config, self.embedder = spark, root.rstrip("/"), config or Config(), embedder
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder=models.embed, scorer=models.overlap, answerer=models.extract_answer):
+        """embedder: of a text column; scorer and answerer: of question and text. `models.provider` makes them of clients."""
+        self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
+        self.embedder, self.scorer, self.answerer = embedder, scorer, answerer
         self.index = sinks.Collections(spark, f"{self.root}/index")
 
     # --- Building -----------------------------------------------------------------------------------------------------
@@ -151,14 +153,14 @@ class Engine:
             date = X.date_of(F.coalesce(F.nullif(F.col("web_date"), F.lit("")), F.col("date").cast("string")))
             hits = ranking.time_decay(hits.withColumn("date", F.when(recent, date)), as_of).drop("rank").withColumnRenamed("final_rank", "rank").withColumn("date", F.date_format(date, "yyyy-MM-dd"))
         if c.reranker.enabled:
-            hits = ranking.rerank(hits, models.overlap(F.col("question"), F.col("text")), k)
+            hits = ranking.rerank(hits, self.scorer(F.col("question"), F.col("text")), k)
             hits = ranking.threshold(hits, c.reranker.least)
         placed = ranking.prompt_order(hits, c.two_stage.order if c.two_stage.enabled else "rank")
         rows = placed.withColumn("date", F.coalesce(F.nullif(F.col("web_date"), F.lit("")), F.col("date").cast("string"))).withColumn("duration_seconds", F.lit(None).cast("double"))
         texts = prompt.context(rows, ("query_id", "question"), order="place")
         best = placed.groupBy("query_id").agg(F.min_by("text", "rank").alias("best"))
         out = texts.join(best, "query_id")
-        return out.select("query_id", "question", prompt.user_message(F.col("context"), F.col("question")).alias("prompt"), models.extract_answer(F.col("question"), F.col("best")).alias("answer"))
+        return out.select("query_id", "question", prompt.user_message(F.col("context"), F.col("question")).alias("prompt"), self.answerer(F.col("question"), F.col("best")).alias("answer"))
 
     def related(self, doc_id: str, k: int = 5, same_video: bool = False) -> DataFrame:
         return vector.related(self.index.read("live").select(F.col("id").alias("doc_id"), "embedding", "video_id"), doc_id, k, same_video)

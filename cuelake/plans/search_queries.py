@@ -321,6 +321,19 @@ def language_versions(spark, sf_dir):
     return M.split_languages(files)
 
 
+WORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
+
+
+@query(f"""WITH {BM25}, s AS (SELECT query_id, bm.doc_id, round(len(list_intersect(qt, dt)) / len(qt), 6) AS score FROM bm JOIN (SELECT item_id, {WORDS} AS qt FROM benchmark) ON item_id = query_id JOIN (SELECT doc_id, {WORDS} AS dt FROM documents) d ON d.doc_id = bm.doc_id WHERE bm.rank <= 5)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3""")
+def rerank_overlap(spark, sf_dir):
+    """The first five by words, ordered anew by the share of the question's words."""
+    from cuelake.operators import models
+
+    hits = bm25.search(questions(spark, sf_dir), docs(spark, sf_dir), 5).join(docs(spark, sf_dir), "doc_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
+    return ranking.rerank(hits, models.overlap(F.col("query"), F.col("text")), 3).select("query_id", "doc_id", "score", "rank")
+
+
 @query()
 def model_stand_ins(spark, sf_dir):
     """Embedding, answer and rerank interfaces with their deterministic stand-ins, and ROUGE-L of the answers."""

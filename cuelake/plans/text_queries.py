@@ -328,3 +328,22 @@ def export_ranges(spark, sf_dir):
     a, b = F.lit("2022-03-01").cast("date"), F.lit("2024-12-31").cast("date")
     d = spark.range(1).select(F.posexplode(F.sequence(a, b, F.expr("INTERVAL 180 DAYS"))).alias("i", "first_day"))
     return d.select((F.col("i") + 1).cast("int").alias("part"), F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format(F.least(F.date_add("first_day", 179), b), "yyyy-MM-dd").alias("last_day"))
+
+
+@query("SELECT page_id, sha1(CASE WHEN page_id % 3 <> 0 THEN concat(url, '|720p|', 1700000000 + page_id, '|', length(html)) ELSE concat(url, '|720p') END) AS key FROM pages")
+def media_cache_keys(spark, sf_dir):
+    known = F.col("page_id") % 3 != 0
+    mtime, size = F.when(known, F.col("page_id") + 1700000000.25), F.when(known, F.length("html"))
+    return table(spark, sf_dir, "pages").select("page_id", X.cache_key(F.col("url"), F.lit("720p"), mtime, size).alias("key"))
+
+
+SECRET = "a shared secret"
+#: The secret, padded to a block, under the two masks of a keyed hash.
+INNER, OUTER = ("".join(f"\\x{b ^ mask:02X}" for b in SECRET.encode().ljust(64, b"\0")) for mask in (0x36, 0x5C))
+
+
+@query(f"SELECT page_id, concat('v1.', m, '.', substr(sha256('{OUTER}'::BLOB || unhex(sha256('{INNER}'::BLOB || encode(m)))), 1, 32)) AS token, page_id % 2 = 1 AS good FROM (SELECT page_id, CAST(1700000000 + page_id % 2 AS VARCHAR) AS m FROM pages)")
+def media_tokens(spark, sf_dir):
+    """Tokens that end at two times, judged at the earlier; one in two is good no longer."""
+    token = X.media_token(1700000000 + F.col("page_id") % 2, SECRET)
+    return table(spark, sf_dir, "pages").select("page_id", token.alias("token")).select("page_id", "token", X.token_valid(F.col("token"), SECRET, F.lit(1700000000)).alias("good"))

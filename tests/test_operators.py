@@ -6,10 +6,11 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions import text as X
 from cuelake.functions import web as H
-from cuelake.operators import bm25, chunking, fusion, incremental, metrics, ranking, vector
+from cuelake.operators import bm25, chunking, fusion, incremental, metrics, models, ranking, vector
 from cuelake.sources import readers, sinks, vtt
 
 
@@ -322,3 +323,47 @@ def test_session_states(spark):
     from cuelake.streaming import windows
 
     assert callable(windows.session_states) and callable(windows.ingest)
+
+
+def test_media_tokens(spark):
+    import hashlib
+    import hmac
+
+    for secret in ("s", "é" * 50, "x" * 200):
+        want = "v1.1700000000." + hmac.new(secret.encode(), b"1700000000", hashlib.sha256).hexdigest()[:32]
+        d = spark.createDataFrame([(want,), (want[:-1] + "x",), ("v1.1700000000",), ("v2" + want[2:],), ("v1.abc." + want[-32:],), (None,), ("",)], "t string")
+        assert d.select(X.media_token(F.lit(1700000000.9), secret)).first()[0] == want
+        assert [r[0] for r in d.select(X.token_valid(F.col("t"), secret, F.lit(1699999999))).collect()] == [True] + [False] * 6
+        assert not d.select(X.token_valid(F.col("t"), secret, F.lit(1700000000))).first()[0]
+    assert spark.range(1).select(X.media_token(F.lit(1), "")).first()[0] == ""
+
+
+def test_provider(spark):
+    """Batches, retries of transient failures only, halved batches, nulls, several columns."""
+
+    class Busy(Exception):
+        status_code = 429
+
+    seen = []
+
+    def client(texts):
+        seen.append(len(texts))
+        if len(seen) in (1, 2):
+            raise Busy("later")
+        if len(texts) > 4:
+            raise RuntimeError("CUDA out of memory")
+        return [len(t) for t in texts]
+
+    assert models.call_in_batches(client, ["x" * i for i in range(11)], 8, 2, 0.0) == list(range(11))
+    assert seen == [8, 8, 8, 4, 4, 3]
+    with pytest.raises(Busy):
+        models.call_in_batches(lambda t: (_ for _ in ()).throw(Busy()), ["a"], 8, 2, 0.0)
+    with pytest.raises(KeyError):
+        models.call_in_batches(lambda t: {}["wrong"], ["a"], 8, 5, 0.0)
+    with pytest.raises(ValueError):
+        models.call_in_batches(lambda t: [], ["a"], 8, 5, 0.0)
+    d = spark.createDataFrame([(0, "ab", "c"), (1, None, "c"), (2, "", None), (3, "abcd", "")], "i long, a string, b string")
+    one = models.provider(lambda: lambda texts: [[float(len(t))] for t in texts], T.ArrayType(T.FloatType()), batch=2, prefix="query: ")
+    two = models.provider(lambda: lambda pairs: [a + "/" + b for a, b in pairs], T.StringType())
+    got = d.select("i", one(F.col("a")).alias("x"), two(F.col("a"), F.col("b")).alias("y")).orderBy("i").collect()
+    assert [(r.x, r.y) for r in got] == [([9.0], "ab/c"), (None, None), ([7.0], None), ([11.0], "abcd/")]
