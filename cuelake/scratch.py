@@ -34,13 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
+def write(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     """The rows, written as a compressed table and read again; the write's shuffle files go at once."""
     spark = df.sparkSession
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
