@@ -29,7 +29,6 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_CHARS) -> It
         total += n + 64
     if start < len(sizes):
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
 
 
 def gaps(parts: list) -> list[int]:

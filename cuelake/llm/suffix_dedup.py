@@ -94,6 +94,12 @@ def word_hashes(raws: list[bytes]) -> list[np.ndarray]:
     return np.split(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends[:-1])) if raws else []
 
 
+def _slices(batch: pa.RecordBatch):
+    """Parts of a batch; what they took goes back to the system, as later stages of the worker need it."""
+    yield from slices(batch, "text")
+    pa.default_memory_pool().release_unused()
+
+
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all stretches of a width."""
     have, w = x, 1
@@ -197,7 +203,7 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in _slices(batch):
                 raws = [(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()]
                 rids = part.column("rid").to_numpy(zero_copy_only=False)
                 for unit, texts in ((byte, [np.frombuffer(r, np.uint8) for r in raws]), (word, word_hashes(raws))):
@@ -216,7 +222,7 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in _slices(batch):
                 found = part.column("runs").flatten()
                 start, size, key = (found.field(n).to_numpy(zero_copy_only=False) for n in ("start", "len", "key"))
                 ends = np.cumsum(part.column("runs").value_lengths().to_numpy(zero_copy_only=False))
@@ -405,7 +411,7 @@ def deduplicate(df: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int
 
     def task(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in _slices(batch):
                 g, a, b = _stretches(part.column("found"))
                 n = part.num_rows
                 count = np.bincount(g, minlength=2 * n).reshape(n, 2)
