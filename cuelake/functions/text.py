@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -221,12 +222,19 @@ def share_of(text: Column) -> Column:
     return F.when((out >= 0) & (out <= 1), out)
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """The number with so many decimal places, half to even by its exact value (format_string rounds its shortest digits half up); all digits up to 2^106."""
+    high = F.floor(x / 2.0**53)
+    whole = high.cast("decimal(17,0)") * F.lit(Decimal(2**53)) + (x - high * F.lit(2.0**53)).cast("long")
+    point = "." + "0" * places if places else ""
+    return F.when((x >= 2.0**53) & (x < 2.0**106), F.concat(whole.cast("string"), F.lit(point))).otherwise(F.call_function("format_number", x, F.lit("0" + point)))
+
+
 def human_bytes(n: Column) -> Column:
+    """A size with its unit; null for null."""
     n = n.cast("double")
-    return (
-        F.when(n < 1024, F.format_string("%.0f B", n)).when(n < 1024**2, F.format_string("%.0f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.0f MB", n / 1024**2)).otherwise(F.format_string("%.1f GB", n / 1024**3))
-    )
+    shown = F.when(n < 1024, F.concat(_fixed(n, 0), F.lit(" B"))).when(n < 1024**2, F.concat(_fixed(n / 1024, 0), F.lit(" KB")))
+    return shown.when(n < 1024**3, F.concat(_fixed(n / 1024**2, 0), F.lit(" MB"))).otherwise(F.concat(_fixed(n / 1024**3, 1), F.lit(" GB")))
 
 
 # What makes a provider's failure worth a retry.

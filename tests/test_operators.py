@@ -367,3 +367,13 @@ def test_provider(spark):
     two = models.provider(lambda: lambda pairs: [a + "/" + b for a, b in pairs], T.StringType())
     got = d.select("i", one(F.col("a")).alias("x"), two(F.col("a"), F.col("b")).alias("y")).orderBy("i").collect()
     assert [(r.x, r.y) for r in got] == [([9.0], "ab/c"), (None, None), ([7.0], None), ([11.0], "abcd/")]
+
+
+def test_human_bytes(spark):
+    """Ties of the last place go to the even digit and no digit of a large size is lost, as in Python and in the SQL; null stays null."""
+    g = 1024**3
+    sizes = [0, 0.5, 1.5, 2.5, 1023.5, 1536, 2560, 3584, 1.5 * 1024**2, 2.5 * 1024**2, 1023.5 * 1024**2, -0.4, -2.5, 9932111872, 89389006848, 1.15 * g, 1.25 * g, 1.35 * g, 1.75 * g, 9.95 * g, 2.0**53 * g, 1e23 * g, 37.0 * 2.0**126]
+    sizes += [(2 * i + 1) * g / 4 for i in range(2, 40)] + [(2 * i + 1) * g / 20 for i in range(10, 400)]
+    unit = lambda n: f"{n:.0f} B" if n < 1024 else f"{n / 1024:.0f} KB" if n < 1024**2 else f"{n / 1024**2:.0f} MB" if n < g else f"{n / g:.1f} GB"
+    got = spark.createDataFrame([(i, float(n)) for i, n in enumerate(sizes)] + [(-1, None)], "i int, n double").select("i", X.human_bytes(F.col("n")))
+    assert rows(got, "i") == [(-1, None)] + [(i, unit(float(n))) for i, n in enumerate(sizes)]
