@@ -1,9 +1,14 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with the same set are one. Of the others, MinHash bands put together what may be linked: a pair at the threshold
-shares none of the BANDS bands of ROWS values with a probability of 1.2e-7, a closer pair with less. Texts connected by
-bands form a family; within it all pairs are compared on the whole sets, by tiles of bounded size, each pair of tiles
-yielding a spanning forest of its links. So comparisons grow with the square of a family, not of the table.
+Texts with the same set are one. Of the others, SimHash finds what may be linked: fingerprints of the sets that differ
+in RADIUS bits or fewer, by the tiled comparison of module simhash. Texts connected so form a family; within it all
+pairs are compared on the whole sets, by tiles of bounded size, each pair of tiles yielding a spanning forest of its
+links. So exact comparisons grow with the square of a family, those of fingerprints with the square of the table.
+
+No radius holds for every pair at the threshold (about 10 bits on average, a few have 15 or more). For the rest there
+are MinHash bands: those that hold texts not linked so far make families that are compared alike. A pair at the
+threshold beyond the radius shares none of the BANDS bands of ROWS values with a probability of 1.2e-7, a closer pair
+with less.
 
 Words are those of the fingerprints; texts without words are copies of each other. Null texts count as empty. Rows with
 a null doc_id link nothing.
@@ -20,11 +25,13 @@ from pyspark.sql import types as T
 
 from cuelake.llm.common import drop, map_texts, stored
 from cuelake.llm.components import connected_components
-from cuelake.llm.simhash import shingle_hashes
+from cuelake.llm.simhash import link_forest, majority, shingle_hashes, signed
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
+#: Bits by which fingerprints of candidates differ at most; counts a cell's side has, and tiles in all, about.
+RADIUS, WIDTH, MOST = 11, 12, 64
 BANDS, ROWS, SEED = 40, 5, 17
 #: Texts and shingles in a tile at most, about, and shingles whose common counts are made at a time.
 TILE, HELD, COLUMNS = 2048, 1 << 20, 2048
@@ -103,42 +110,61 @@ def _compare(batches):
         yield done()
 
 
-def families(groups: DataFrame, sizes: DataFrame) -> DataFrame:
-    """doc_id, family, tiles: the texts that bands connect, and the number of tiles of their family. sizes: doc_id, n (shingles)."""
-    family = stored(connected_components(groups.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family")).distinct(), "families")
+def families(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, family, tiles: the texts that edges a, b connect, and the number of tiles of their family. sizes: doc_id, n (shingles)."""
+    family = stored(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family")).distinct(), "families")
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / HELD))
     return family.join(family.join(sizes, "doc_id").groupBy("family").agg(tiles.alias("tiles")), "family")
 
 
+def verified(edges: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges a, b of near copies within the families that the given edges make: a spanning forest, by all pairs of whole sets."""
+    whole = lambda part: {"found": [shingles(t).tobytes() for t in part]}
+    members = texts.join(families(edges, sizes), "doc_id")
+    sets = stored(map_texts(members, "text", lambda: whole, [T.StructField("found", T.BinaryType())], ["doc_id", "family", "tiles"]), "shingles")
+    mine, other = F.pmod(F.xxhash64("doc_id"), "tiles"), F.col("other")
+    dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pair = F.concat_ws("-", "family", F.least("mine", other), F.greatest("mine", other))
+    dealt = dealt.select(pair.alias("pair"), (F.col("mine") > other).cast("int").alias("side"), "doc_id", "found")
+    found = stored(dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare, "a long, b long"), "links")
+    drop(sets)
+    return found
+
+
+def by_fingerprint(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, fp. Edges a, b that connect all texts with fingerprints within the radius."""
+    first = stored(texts.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    same = texts.join(first, "fp").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return link_forest(first, RADIUS, width=WIDTH, most=MOST).union(same)
+
+
+def by_bands(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, bands, linked. Edges a, b that connect the texts of every band with more than one value of linked."""
+    rows = texts.select("doc_id", "linked", F.posexplode("bands").alias("band", "key"))
+    first = rows.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.min("linked").alias("low"), F.max("linked").alias("high")).where("low < high")
+    return rows.join(first, ["band", "key"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_copies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df: doc_id (integer) and a text. Returns doc_id and component_id for every row."""
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sketch(batch):
         found = [shingles(t) for t in batch]
-        return {"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "bands": [bands(s) for s in found], "n": [len(s) for s in found]}
+        return {"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "fp": [signed(majority(s)) for s in found], "bands": [bands(s) for s in found], "n": [len(s) for s in found]}
 
-    fields = [T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())]
-    sketched = stored(map_texts(texts, "text", lambda: sketch, fields, ["doc_id"]), "bands")
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())]
+    sketched = stored(map_texts(texts, "text", lambda: sketch, fields, ["doc_id"]), "sketches")
     docs = stored(sketched.select("doc_id", "digest"), "digests")
-    one = stored(sketched.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min("n").alias("n")), "distinct")
+    one = stored(sketched.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min_by("bands", "doc_id").alias("bands"), F.min("n").alias("n")), "distinct")
     drop(sketched)
-    rows = one.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
-    first = rows.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    groups = stored(rows.join(first, ["band", "key"]).select("first", "doc_id").distinct(), "groups")
-    distinct = stored(one.select("digest", "rep", "n"), "distinct")
+    sizes = one.select("doc_id", "n")
+    linked = connected_components(verified(by_fingerprint(one.select("doc_id", "fp")), sizes, texts)).withColumnsRenamed({"node": "doc_id", "component": "linked"})
+    known = stored(one.join(linked, "doc_id", "left").select("digest", "doc_id", F.coalesce("linked", "doc_id").alias("linked")), "linked")
+    rest = verified(stored(by_bands(one.join(known.select("doc_id", "linked"), "doc_id")), "groups"), sizes, texts)
     drop(one)
-    family = families(groups, distinct.select(F.col("rep").alias("doc_id"), "n"))
-    whole = lambda part: {"found": [shingles(t).tobytes() for t in part]}
-    members = texts.join(family, "doc_id")
-    sets = stored(map_texts(members, "text", lambda: whole, [T.StructField("found", T.BinaryType())], ["doc_id", "family", "tiles"]), "shingles")
-    drop(groups)
-    mine, other = F.pmod(F.xxhash64("doc_id"), "tiles"), F.col("other")
-    dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    pair = F.concat_ws("-", "family", F.least("mine", other), F.greatest("mine", other))
-    dealt = dealt.select(pair.alias("pair"), (F.col("mine") > other).cast("int").alias("side"), "doc_id", "found")
-    edges = stored(dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare, "a long, b long"), "links")
-    drop(sets)
-    comps = connected_components(edges)
-    by_digest = distinct.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    for end in ("a", "b"):
+        rest = rest.join(known.select(F.col("doc_id").alias(end), F.col("linked").alias(f"of_{end}")), end)
+    joined = connected_components(rest.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).withColumnsRenamed({"node": "linked"})
+    by_digest = known.join(joined, "linked", "left").select("digest", F.coalesce("component", "linked").alias("component_id"))
     return docs.join(by_digest, "digest", "left").select("doc_id", "component_id")

@@ -24,6 +24,8 @@ from cuelake.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 TILE, BLOCK = 8192, 256
+#: Blocks that a block is compared with at a time; bounds memory whatever a tile's size is.
+COMPARED = 32
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -41,7 +43,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    h = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -50,9 +56,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
     """Adds `fp`, the fingerprint as a signed long."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     return map_texts(df, text_col, lambda: lambda texts: {"fp": [signed(fingerprint(t, shingle)) for t in texts]}, [T.StructField("fp", T.LongType())], keep)
 
 
@@ -63,13 +72,15 @@ def _lanes(x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bitwise_count((x >> np.uint64(width * i)) & mask) for i in range(n)], 1).astype(np.int16)
 
 
-def _cells(x: np.ndarray) -> np.ndarray:
-    p = _lanes(x, 2).astype(np.int64)
+def _cells(x: np.ndarray, width: int = 1) -> np.ndarray:
+    p = _lanes(x, 2).astype(np.int64) // width
     return p[:, 0] * 33 + p[:, 1]
 
 
-def _near(radius: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
+def _near(radius: int, width: int = 1) -> list[tuple[int, int]]:
+    """Offsets of the cells, of so many counts a side, that may hold fingerprints within the radius."""
+    gap = lambda d: (abs(d) - 1) * width + 1 if d else 0
+    return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if gap(i) + gap(j) <= radius]
 
 
 def links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: bool, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,50 +102,55 @@ def links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, sa
         near = [j for j in np.flatnonzero(gap <= radius) if not same or j >= i]
         if not near:
             continue
-        cols = np.concatenate([right[j] for j in near])
-        r, c = np.nonzero(np.bitwise_count(x[rows][:, None] ^ x[cols][None, :]) <= radius)
-        u, v = label[rows[r]], label[cols[c]]
-        differ = u != v
-        if not differ.any():
-            continue
-        pairs = np.unique(np.stack([np.minimum(u, v)[differ], np.maximum(u, v)[differ]], 1), axis=0)
-        parent: dict[int, int] = {}
-
-        def find(n, parent=parent):
-            while (p := parent.get(n, n)) != n:
-                parent[n] = parent.get(p, p)
-                n = p
-            return n
-
-        for p, q in pairs.tolist():
-            p, q = find(p), find(q)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-        to = np.arange(len(x))
-        for n in parent:
-            to[n] = find(n)
-        label = to[label]
+        for part in range(0, len(near), COMPARED):
+            cols = np.concatenate([right[j] for j in near[part : part + COMPARED]])
+            r, c = np.divmod(np.flatnonzero(np.bitwise_count(x[rows][:, None] ^ x[cols][None, :]) <= radius), len(cols))
+            u, v = label[rows[r]], label[cols[c]]
+            differ = u != v
+            if not differ.any():
+                continue
+            pairs = np.unique(np.stack([np.minimum(u, v)[differ], np.maximum(u, v)[differ]], 1), axis=0)
+            parent: dict[int, int] = {}
+
+            def find(n, parent=parent):
+                while (p := parent.get(n, n)) != n:
+                    parent[n] = parent.get(p, p)
+                    n = p
+                return n
+
+            for p, q in pairs.tolist():
+                p, q = find(p), find(q)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+            to = np.arange(len(x))
+            for n in parent:
+                to[n] = find(n)
+            label = to[label]
     moved = np.flatnonzero(label != np.arange(len(x)))
     return ids[moved], ids[label[moved]]
 
 
-def link_forest(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """distinct: fp, rep (both long, one row per fingerprint). Edges a, b between reps of linked fingerprints."""
-    counts: dict[int, int] = {}
+def link_forest(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, width: int = 1, most: int = 0) -> DataFrame:
+    """distinct: fp, rep (both long, one row per fingerprint). Edges a, b between reps of linked fingerprints.
+
+    A radius that skips few cells may have cells of more counts a side (width) and larger tiles, so that there are
+    about `most` of them: every fingerprint is sent to all tiles near its own.
+    """
     halves = [F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned("fp", 32))]
-    for r in distinct.groupBy((halves[0] * 33 + halves[1]).alias("cell")).count().collect():  # 1089 cells at most
-        counts[r.cell] = -(-r["count"] // tile)
+    halves = [F.floor(h / width).cast("int") for h in halves]
+    counts = {r.cell: r["count"] for r in distinct.groupBy((halves[0] * 33 + halves[1]).alias("cell")).count().collect()}  # 1089 cells at most
+    tile = max(tile, -(-sum(counts.values()) // most)) if most else tile
     subs = np.zeros(33 * 33, np.int64)
     for cell, n in counts.items():
-        subs[cell] = n
-    near = _near(radius)
+        subs[cell] = -(-n // tile)
+    near = _near(radius, width)
 
     def deal(batches):
         schema = pa.schema([("pair", pa.string()), ("side", pa.int32()), ("fp", pa.int64()), ("rep", pa.int64())])
         for batch in batches:
             fp, rep = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             x = fp.view(np.uint64)
-            cell = _cells(x)
+            cell = _cells(x, width)
             sub = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % np.maximum(subs[cell], 1)
             for di, dj in near:
                 i, j = cell // 33 + di, cell % 33 + dj

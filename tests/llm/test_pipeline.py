@@ -112,3 +112,58 @@ def test_near_copies(spark, monkeypatch, tile):
     assert far > 10 and len(set(group)) > 12
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(group)
+
+
+@pytest.mark.parametrize("without", ["by_bands", "by_fingerprint"])
+def test_near_copies_by_fingerprints(spark, monkeypatch, without):
+    """Fingerprints alone link all near copies within their radius, bands alone the rest too."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [""]
+    for n in (40, 90, 200, 300):
+        base = rng.choice(words, n).tolist()
+        for changes in (0, 0, 1, 1, n // 60, n // 50, n // 40):
+            copy = list(base)
+            for i in rng.choice(n, changes, replace=False):
+                copy[i] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    texts += [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    monkeypatch.setattr(near_copies, without, lambda _: spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    want, sets = plain_near_copies(texts), [set(near_copies.shingles(t).tolist()) for t in texts]
+    if without == "by_bands":
+        fps = [simhash.majority(near_copies.shingles(t)) for t in texts]
+        near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= near_copies.RADIUS
+        family = plain_groups(len(texts), near)
+        linked = plain_groups(len(texts), lambda a, b: sets[a] == sets[b] or family[a] == family[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+        assert sum(g != i for i, g in enumerate(linked)) >= 0.8 * sum(g != i for i, g in enumerate(want))
+        want = linked
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def plain_groups(n, linked):
+    """For each number the smallest that links join it with."""
+    group = list(range(n))
+    for b in range(n):
+        for a in range(b):
+            if group[a] != group[b] and linked(a, b):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_wide_cells(spark):
+    """A wide radius, with few cells and several tiles, against all pairs."""
+    rng = np.random.default_rng(7)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 150)] + [0, 1, (1 << 64) - 1]
+    for x in fps[:100]:
+        for bit in rng.choice(64, int(rng.integers(6, 15)), replace=False).tolist():
+            x ^= 1 << bit
+        fps.append(x)
+    rows = spark.createDataFrame([(simhash.signed(x), i) for i, x in enumerate(fps)], "fp long, rep long").repartition(3)
+    want = plain_groups(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 11)
+    for tile, width, most in ((8, 12, 0), (8, 12, 4), (64, 5, 0)):
+        edges = {(r.a, r.b) for r in simhash.link_forest(rows, 11, tile, width, most).collect()}
+        assert plain_groups(len(fps), lambda a, b: (a, b) in edges or (b, a) in edges) == want
+    assert len(set(want)) < len(fps) - 40
