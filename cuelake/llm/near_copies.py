@@ -1,14 +1,17 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Texts with the same set are one. Of the others, SimHash finds what may be linked: fingerprints of the sets that differ
-in RADIUS bits or fewer, by the tiled comparison of module simhash. Texts connected so form a family; within it all
-pairs are compared on the whole sets, by tiles of bounded size, each pair of tiles yielding a spanning forest of its
-links. So exact comparisons grow with the square of a family, those of fingerprints with the square of the table.
-
-No radius holds for every pair at the threshold (about 10 bits on average, a few have 15 or more). For the rest there
-are MinHash bands: those that hold texts not linked so far make families that are compared alike. A pair at the
-threshold beyond the radius shares none of the BANDS bands of ROWS values with a probability of 1.2e-7, a closer pair
-with less.
+in RADIUS bits or fewer and agree in all bits of one of KEYS keys, which are the longer the more fingerprints there are.
+Texts connected so form a family. Within a family of one tile all pairs are compared on the whole sets. In a larger one
+the edges that made it are compared first; then only texts that these have not connected are compared, by tiles of
+bounded size: a group whose texts are linked to each other is never compared with itself, however large it is. Each pair
+of tiles yields a spanning forest of its links. So rows grow with the table, and comparisons with the square of what a
+family holds unlinked.
+
+Neither the radius nor the keys hold for every pair at the threshold (it is about 10 bits apart on average, a few pairs
+15 or more). For the rest there are MinHash bands: those that hold texts not linked so far make families that are
+compared alike. Whatever SimHash finds or not, a pair at the threshold shares none of the BANDS bands of ROWS values with
+a probability of 1.2e-7, a closer pair with less.
 
 Words are those of the fingerprints; texts without words are copies of each other. Null texts count as empty. Rows with
 a null doc_id link nothing.
@@ -23,18 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import drop, map_texts, stored
+from cuelake.llm.common import cut, drop, map_texts, stored
 from cuelake.llm.components import connected_components
-from cuelake.llm.simhash import link_forest, majority, shingle_hashes, signed
+from cuelake.llm.simhash import key_links, majority, shingle_hashes, signed
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: Bits by which fingerprints of candidates differ at most; counts a cell's side has, and tiles in all, about.
-RADIUS, WIDTH, MOST = 11, 12, 64
+#: Bits by which fingerprints of candidates differ at most, and keys of which they share one.
+RADIUS, KEYS = 11, 24
 BANDS, ROWS, SEED = 40, 5, 17
 #: Texts and shingles in a tile at most, about, and shingles whose common counts are made at a time.
-TILE, HELD, COLUMNS = 2048, 1 << 20, 2048
+TILE, HELD, COLUMNS = 1024, 1 << 19, 1024
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,26 +69,19 @@ def links(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray) -> tuple[li
     owner, column = owner[order], column[order]
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     two = two if len(two) else one
-    both = np.zeros((len(one), len(two)), np.int64)
+    both = np.zeros((len(one), len(two)), np.int32)
     for start in range(0, int(times[times > 1].size), COLUMNS):
         i, j = np.searchsorted(column, [start, start + COLUMNS])
         held = np.zeros((len(sets), min(COLUMNS, int(column[j - 1]) - start + 1)), np.float32)
         held[owner[i:j], column[i:j] - start] = 1
-        both += (held[one] @ held[two].T).astype(np.int64)  # exact: counts of COLUMNS at most
-    r, c = np.nonzero(both * LEAST[1] >= (sizes[one][:, None] + sizes[two][None, :] - both) * LEAST[0])
-    parent = list(range(len(sets)))
-
-    def find(n):
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
-
-    a, b = [], []
-    for u, v in zip(one[r].tolist(), two[c].tolist()):
-        p, q = find(u), find(v)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
+        both += (held[one] @ held[two].T).astype(np.int32)  # exact: counts of COLUMNS at most
+    label, a, b = np.arange(len(sets)), [], []
+    for i, u in enumerate(one.tolist()):
+        common = both[i].astype(np.int64)
+        near = two[common * LEAST[1] >= (sizes[u] + sizes[two] - common) * LEAST[0]]
+        while len(near := near[label[near] != label[u]]):  # each text joins once, however many links it has
+            v = int(near[0])
+            label[label == label[v]] = label[u]
             a.append(int(ids[u]))
             b.append(int(ids[v]))
     return a, b
@@ -96,46 +92,112 @@ def _compare(batches):
     key, held = None, []
 
     def done():
-        a, b = links([np.frombuffer(f, np.uint64) for _, _, f in held], np.array([i for _, i, _ in held]), np.array([s for s, _, _ in held]))
+        a, b = links([f for _, _, f in held], np.array([i for _, i, _ in held]), np.array([s for s, _, _ in held]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for pair, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        found = batch.column(3)
+        for k, (pair, *row) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
             if pair != key:
                 if held:
                     yield done()
                 key, held = pair, []
-            held.append(row)
+            held.append((*row, np.frombuffer(found[k].as_buffer(), np.uint64)))
     if held:
         yield done()
 
 
+def similar(one: np.ndarray, other: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(one) or not len(other):
+        return len(one) == len(other)
+    both = int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+    return both * least[1] >= (len(one) + len(other) - both) * least[0]
+
+
+def _compare_edges(batches):
+    """Edges a, b of near copies; rows a, part, doc_id, found come sorted by a and part, with a's own set first."""
+    key, own = None, None
+    for batch in batches:
+        a, b, found = [], [], batch.column(3)
+        for k, (*at, doc) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+            s = np.frombuffer(found[k].as_buffer(), np.uint64)
+            if at != key:
+                key, own = at, s.copy()
+            elif similar(own, s):
+                a.append(at[0])
+                b.append(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def families(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """doc_id, family, tiles: the texts that edges a, b connect, and the number of tiles of their family. sizes: doc_id, n (shingles)."""
-    family = stored(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family")).distinct(), "families")
-    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / HELD))
-    return family.join(family.join(sizes, "doc_id").groupBy("family").agg(tiles.alias("tiles")), "family")
+    """doc_id, family, n, tiles: the texts that edges a, b connect, and the number of tiles of their family. sizes: doc_id, n (shingles)."""
+    family = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family")).distinct()
+    family = stored(family.join(sizes, "doc_id"), "families")
+    return family.join(family.groupBy("family").agg(_tiles("n").alias("tiles")), "family")
+
+
+def _tiles(n: str, texts=None):
+    """Tiles for rows with so many shingles (and, if a row stands for several, texts)."""
+    return F.greatest(F.ceil((F.sum(texts) if texts else F.count("*")) / TILE), F.ceil(F.sum(n) / HELD))
+
+
+def compared_edges(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the edges a, b that link near copies. sets: doc_id, found. A text with many edges is sent to several tasks."""
+    hubs = edges.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    ends = edges.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("doc_id"))
+    own = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
+    dealt = ends.union(own).join(sets.select("doc_id", "found"), "doc_id").select("a", "part", "doc_id", "found")
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc_id") != F.col("a")).mapInArrow(_compare_edges, "a long, b long")
+
+
+def dealt_apart(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows pair, side, doc_id, found of the pairs of tiles that may hold links between texts not connected yet.
+
+    sets: doc_id, family, n, found. linked: node, component. Components of more than a tile have tiles of their own, which
+    are not compared with each other; the texts of the others share the rest of the family's tiles.
+    """
+    part = sets.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = cut(part.groupBy("family", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), _tiles("n").alias("own")))
+    large = sizes.where("own > 1").select("family", "component", "own")
+    rest = sizes.where("own = 1").groupBy("family").agg(_tiles("n", "texts").alias("shared"))
+    name = lambda owner, i: F.concat_ws("-", F.coalesce(owner.cast("string"), F.lit("rest")), i)
+    every = large.select("family", F.col("component").alias("owner"), "own").union(rest.select("family", F.lit(None).cast("long"), "shared"))
+    others = every.select("family", F.col("owner").alias("theirs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"))
+    others = others.select("family", "theirs", name(F.col("theirs"), F.col("i")).alias("other"))
+    part = part.join(F.broadcast(large), ["family", "component"], "left").join(F.broadcast(rest), "family", "left")
+    owner = F.when(F.col("own").isNotNull(), F.col("component"))
+    mine = name(owner, F.pmod(F.xxhash64("doc_id"), F.coalesce("own", "shared")))
+    part = part.select("family", "doc_id", "found", owner.alias("owner"), mine.alias("mine"))
+    apart = F.coalesce(F.col("owner") != F.col("theirs"), F.lit(True))
+    pair = F.concat_ws("|", "family", F.least("mine", "other"), F.greatest("mine", "other"))
+    return part.join(F.broadcast(others), "family").where(apart).select(pair.alias("pair"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "doc_id", "found")
 
 
 def verified(edges: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges a, b of near copies within the families that the given edges make: a spanning forest, by all pairs of whole sets."""
+    """Edges a, b of near copies that connect all near copies within the families that the given edges make, by whole sets."""
     whole = lambda part: {"found": [shingles(t).tobytes() for t in part]}
+    edges = stored(edges, "candidates")
     members = texts.join(families(edges, sizes), "doc_id")
-    sets = stored(map_texts(members, "text", lambda: whole, [T.StructField("found", T.BinaryType())], ["doc_id", "family", "tiles"]), "shingles")
-    mine, other = F.pmod(F.xxhash64("doc_id"), "tiles"), F.col("other")
-    dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    pair = F.concat_ws("-", "family", F.least("mine", other), F.greatest("mine", other))
-    dealt = dealt.select(pair.alias("pair"), (F.col("mine") > other).cast("int").alias("side"), "doc_id", "found")
+    sets = stored(map_texts(members, "text", lambda: whole, [T.StructField("found", T.BinaryType())], ["doc_id", "family", "n", "tiles"]), "shingles")
+    dealt = sets.where("tiles = 1").select(F.col("family").cast("string").alias("pair"), F.lit(0).alias("side"), "doc_id", "found")
+    large = sets.where("tiles > 1")
+    direct = None
+    if not large.isEmpty():
+        first = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        first = first.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+        direct = stored(compared_edges(first, large), "links")
+        dealt = dealt.union(dealt_apart(large, connected_components(direct)))
     found = stored(dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare, "a long, b long"), "links")
-    drop(sets)
-    return found
+    drop(sets, edges)
+    return found.union(direct) if direct else found
 
 
 def by_fingerprint(texts: DataFrame) -> DataFrame:
-    """texts: doc_id, fp. Edges a, b that connect all texts with fingerprints within the radius."""
+    """texts: doc_id, fp. Edges a, b that connect the texts with one fingerprint, and those of each key with fingerprints within the radius."""
     first = stored(texts.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     same = texts.join(first, "fp").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    return link_forest(first, RADIUS, width=WIDTH, most=MOST).union(same)
+    return key_links(first, RADIUS, KEYS).union(same)
 
 
 def by_bands(texts: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ RADIUS, SHINGLE, SEED = 2, 3, 42
 TILE, BLOCK = 8192, 256
 #: Blocks that a block is compared with at a time; bounds memory whatever a tile's size is.
 COMPARED = 32
+#: The same where whole groups of near copies meet, and fingerprints that share a key on average, at most.
+FEWER, CROWD = 4, 64
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -83,7 +85,7 @@ def _near(radius: int, width: int = 1) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if gap(i) + gap(j) <= radius]
 
 
-def links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: bool, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: bool, radius: int = RADIUS, compared: int = COMPARED) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, in ids, of the links between (or, if same, among) two tiles of fingerprints."""
     x, ids = (a, ids_a) if same else (np.concatenate([a, b]), np.concatenate([ids_a, ids_b]))
     na = len(a)
@@ -102,8 +104,8 @@ def links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, sa
         near = [j for j in np.flatnonzero(gap <= radius) if not same or j >= i]
         if not near:
             continue
-        for part in range(0, len(near), COMPARED):
-            cols = np.concatenate([right[j] for j in near[part : part + COMPARED]])
+        for part in range(0, len(near), compared):
+            cols = np.concatenate([right[j] for j in near[part : part + compared]])
             r, c = np.divmod(np.flatnonzero(np.bitwise_count(x[rows][:, None] ^ x[cols][None, :]) <= radius), len(cols))
             u, v = label[rows[r]], label[cols[c]]
             differ = u != v
@@ -194,6 +196,58 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, wid
     return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
 
 
+def key_bits(n: int) -> int:
+    """Bits of a key, so that about CROWD of n fingerprints share one."""
+    return max(0, (-(-n // CROWD) - 1).bit_length())
+
+
+def key_links(distinct: DataFrame, radius: int, keys: int) -> DataFrame:
+    """distinct: fp, rep (both long, one row per fingerprint). Edges a, b between reps of fingerprints within the radius.
+
+    For wide radii, at which link_forest can skip nothing: only fingerprints that agree in all bits of a key are compared.
+    A key's bits grow with the logarithm of the table, so that rows and comparisons grow with the table; a pair that
+    differs in d bits shares none of the keys of b bits with a probability of about (1 - (1 - b / 64) ** d) ** keys.
+    """
+    bits = key_bits(distinct.count())
+    rng = np.random.default_rng(SEED)
+    masks = [sum(1 << int(i) for i in rng.permutation(64)[:bits]) for _ in range(keys if bits else 1)]
+
+    def compare(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        key, held = None, []
+
+        def done():
+            x, ids = np.concatenate([h[0] for h in held]).view(np.uint64), np.concatenate([h[1] for h in held])
+            if len(x) <= BLOCK and np.count_nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius) == len(x):
+                return []  # as most keys
+            return [links(x, x[:0], ids, ids[:0], True, radius, FEWER)]
+
+        def batch_of(found):
+            u, v = (np.concatenate([f[i] for f in found]) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+        for batch in batches:
+            mask, part, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            edges = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(fp)]
+            found = []
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if (mask[a], part[a]) != key:
+                    if held:
+                        found += done()
+                    key, held = (mask[a], part[a]), []
+                held.append((fp[a:b].copy(), rep[a:b].copy()))
+            if found:
+                yield batch_of(found)
+        if held and (found := done()):
+            yield batch_of(found)
+
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(masks)]))
+    dealt = distinct.select(own.alias("key"), "fp", "rep").select("key.mask", "key.part", "fp", "rep")
+    return dealt.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """df: doc_id (integer) and a text. Returns doc_id, fp and component_id for every row."""
     docs = stored(fingerprints(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", shingle, ["doc_id"]), "fingerprints")

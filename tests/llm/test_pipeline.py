@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what it must keep and drop."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +169,47 @@ def test_wide_cells(spark):
         edges = {(r.a, r.b) for r in simhash.link_forest(rows, 11, tile, width, most).collect()}
         assert plain_groups(len(fps), lambda a, b: (a, b) in edges or (b, a) in edges) == want
     assert len(set(want)) < len(fps) - 40
+
+
+@pytest.fixture
+def rows_dealt(spark, monkeypatch):
+    """Numbers of the rows that were dealt out by a key."""
+    kind, seen = type(spark.range(0)), []
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *by: seen.append(self.count()) or plain(self, *by))
+    return seen
+
+
+def test_fingerprints_dealt_grow_with_the_table(spark, rows_dealt):
+    """Eight times the fingerprints are dealt out as eight times the rows."""
+    for n in (8000, 64000):
+        near_copies.by_fingerprint(spark.range(n).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("fp")))
+    assert rows_dealt[1] <= 9 * rows_dealt[0]
+
+
+def test_near_copies_of_a_large_group(spark, monkeypatch, rows_dealt):
+    """A group whose texts are linked is not compared with itself again; texts beside it are compared with all of it."""
+    monkeypatch.setattr(near_copies, "TILE", 8)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(5, 245, 2)]
+    texts += [" ".join(base[:k] + [f"x{k}-{i}" for i in range(300 - k)]) for k in (100, 200, 260)]
+    ids = [int(i) for i in rng.permutation(len(texts))]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    sizes = spark.createDataFrame([(i, len(near_copies.shingles(t))) for i, t in zip(ids, texts)], "doc_id long, n long")
+    edges = spark.createDataFrame([(0, i) for i in range(1, len(texts))], "a long, b long")
+    got = {(r.a, r.b) for r in near_copies.verified(edges, sizes, rows).collect()}
+    at = dict(zip(ids, texts))
+    want = plain_near_copies([at[i] for i in range(len(at))])
+    assert plain_groups(len(at), lambda a, b: (a, b) in got or (b, a) in got) == want and 1 < len(set(want)) < 5
+    assert max(rows_dealt) < 4 * len(at)
+
+
+def test_links_of_a_full_tile():
+    """Memory stays that of the counts when every pair of a tile is linked."""
+    sets = [np.arange(i % 3, 60 + i % 2, dtype=np.uint64) for i in range(1200)]
+    tracemalloc.start()
+    a, b = near_copies.links(sets, np.arange(1200), np.zeros(1200, int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == len(b) == 1199 and len({*a, *b}) == 1200 and peak < 40e6
