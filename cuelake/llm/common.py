@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,44 @@ from cuelake.scratch import cut, drop, drop_since, left, remove, scratch, shared
 
 #: Characters of text that a Python worker unpacks at a time; bounds its memory whatever the batch size is.
 SLICE_CHARS = 2_000_000
+#: Bytes that Spark sends to a Python worker at a time, about; the JVM and the worker hold several such batches a task.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: What operators remember in a Python worker from task to task, by module: how to forget it.
+_FORGET: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's batches for Python workers are bounded by bytes, unless it has a bound of its own."""
+    spark = df.sparkSession
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    _FORGET[owner] = forget
+
+
+def begin(owner: str) -> None:
+    """To be called as a task of a module begins: what those of other modules remembered in this worker goes."""
+    if owner != _OWNER[0]:
+        for other, forget in _FORGET.items():
+            if other != owner:
+                forget()
+        give_back()
+        _OWNER[0] = owner
+
+
+def give_back() -> None:
+    """Memory that nothing uses goes back to the system, as other stages of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -55,14 +94,16 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], di
     kinds = {f.name: to_arrow_type(f.dataType) for f in fields}
 
     def run(batches):
+        begin(fn.__module__)
         apply = fn()
         for batch in batches:
             for part in slices(batch, text_col):
                 out = apply(part.column(text_col).to_pylist())
                 cols = [part.column(c) for c in keep] + [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, kinds[f.name]) for f in fields]
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
+        give_back()
 
-    return df.select(*sent).mapInArrow(run, schema)
+    return bounded(df).select(*sent).mapInArrow(run, schema)
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import drop, free_name, map_texts, stored
+from cuelake.llm.common import drop, free_name, map_texts, remembers, stored
 
 SHINGLE, SHARE = 5, 0.8
 BLOCK_CHARS = 16_000_000
@@ -29,6 +29,7 @@ WORD = re.compile(r"\w+")
 MIX = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64) | 1) for i in range(SHINGLE)]
 
 _HASHES: dict[str, int] = {}
+remembers(__name__, _HASHES.clear)
 
 
 def words_of(text: str | None) -> list[str]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import cut, drop, map_texts, stored
+from cuelake.llm.common import begin, cut, drop, give_back, map_texts, stored
 from cuelake.llm.components import connected_components
 from cuelake.llm.simhash import key_links, majority, shingle_hashes, signed
 
@@ -89,6 +89,7 @@ def links(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray) -> tuple[li
 
 def _compare(batches):
     """Links of each pair of tiles; rows pair, side, doc_id, found come sorted by pair."""
+    begin(__name__)
     key, held = None, []
 
     def done():
@@ -105,6 +106,7 @@ def _compare(batches):
             held.append((*row, np.frombuffer(found[k].as_buffer(), np.uint64)))
     if held:
         yield done()
+    give_back()
 
 
 def similar(one: np.ndarray, other: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
@@ -117,6 +119,7 @@ def similar(one: np.ndarray, other: np.ndarray, least: tuple[int, int] = LEAST)
 
 def _compare_edges(batches):
     """Edges a, b of near copies; rows a, part, doc_id, found come sorted by a and part, with a's own set first."""
+    begin(__name__)
     key, own = None, None
     for batch in batches:
         a, b, found = [], [], batch.column(3)

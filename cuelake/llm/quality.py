@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import map_texts
+from cuelake.llm.common import map_texts, remembers
 
 WORD_COLS, SHAPE_COLS, EXTRA_COLS = 768, 512, 24
 COLS = WORD_COLS + SHAPE_COLS + EXTRA_COLS
@@ -28,6 +28,7 @@ THRESHOLD = 0.3
 CACHE_WORDS = 300_000
 
 _WORDS: dict[str, int] = {}
+remembers(__name__, _WORDS.clear)
 
 
 def _code(word: str) -> int:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cuelake.llm.common import gaps, map_texts
+from cuelake.llm.common import gaps, map_texts, remembers
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -306,6 +306,7 @@ def _marks(model: PieceModel, n: int) -> list[str]:
 
 
 _LOADED: dict[bytes, PieceModel] = {}
+remembers(__name__, _LOADED.clear)
 
 
 def load(raw: bytes) -> PieceModel:

@@ -3,11 +3,13 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from cuelake.llm import common, near_copies, pii, queries, quality, simhash
+from cuelake.llm import common, decontaminate, near_copies, pii, quality, queries, sentencepiece_ops, simhash
 from cuelake.llm.sentencepiece_ops import decode_documents
 from tests.conftest import SF
 from tests.llm.test_operators import plain_containment
@@ -213,3 +215,25 @@ def test_links_of_a_full_tile():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(a) == len(b) == 1199 and len({*a, *b}) == 1200 and peak < 40e6
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    docs = spark.range(3000, numPartitions=1).selectExpr("id doc_id", "repeat('word ', if(id = 7, 2000000, 1600)) text")
+    out = common.map_texts(docs, "text", lambda: lambda texts: {"n": list(map(len, texts))}, [T.StructField("n", T.LongType())], ["doc_id"])
+    assert {(r.doc_id, r.n) for r in out.collect()} == {(i, 10_000_000 if i == 7 else 8000) for i in range(3000)}
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "rows long, bytes long").collect()
+    assert sum(r.rows for r in sizes) == 3000 and all(r.bytes < 2 * common.BATCH_BYTES for r in sizes if r.bytes < 10_000_000)
+    assert len(sizes) > 5
+
+
+def test_workers_forget_what_other_stages_remembered():
+    common.begin(quality.__name__)
+    quality.counts("some words")
+    common.begin(quality.__name__)
+    assert "some" in quality._WORDS
+    common.begin(decontaminate.__name__)
+    decontaminate.hashes(["some", "words"])
+    assert not quality._WORDS and decontaminate._HASHES
+    sentencepiece_ops._LOADED[b"key"] = None
+    common.begin(near_copies.__name__)
+    assert not decontaminate._HASHES and not sentencepiece_ops._LOADED
