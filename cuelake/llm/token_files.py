@@ -38,6 +38,8 @@ HELD = 3_000_000
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 TAIL = struct.Struct("<QQQQ8s")
+#: Bits of the ids up to 65,535.
+_WIDTH = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 #: Chunks that a worker remembers the ids of.
 CACHE_CHUNKS = 700_000
 END_ID = 0
@@ -46,6 +48,16 @@ RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2
 PUNCTUATION = ".,;:!?|$%&*#"
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits per id; 61 stands for all widths that no lane has."""
+    if ids.max() < 1 << 16:
+        return _WIDTH[ids]
+    out = np.where(ids < 2**52, np.ceil(np.log2(ids.astype(np.float64) + 1)), 61).astype(np.uint8)
+    big = np.flatnonzero(ids >= 2**52)
+    out[big] = [int(x).bit_length() for x in ids[big]]
+    return out
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, words per block) of unsigned ids; all blocks advance together, a word at a time."""
     ids = np.ascontiguousarray(ids, np.uint64)
@@ -55,49 +67,45 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK + 64, np.uint64)
     flat[:n] = ids
     bits = np.zeros(len(flat), np.uint8)
-    bits[:n] = np.where(ids < 2**52, np.ceil(np.log2(ids.astype(np.float64) + 1)), 61)
-    big = np.flatnonzero(ids >= 2**52)
-    bits[big] = [int(x).bit_length() for x in ids[big]]
+    bits[:n] = _bits(ids)
     # The highest selector index tried last wins, so go from one id a word to sixty.
-    choice = np.where(bits <= 60, 14, 0).astype(np.uint8)
+    choice = (bits <= 60).astype(np.uint8) * np.uint8(14)
     top, width = bits.copy(), 1
     for s in range(13, 0, -1):
         while width < COUNTS[s]:  # top[i]: most bits of ids i to i + width - 1
             step = min(width, int(COUNTS[s]) - width)
-            top[: len(top) - step] = np.maximum(top[: len(top) - step], top[step:])
+            np.maximum(top[: len(top) - step], top[step:], out=top[: len(top) - step])
             width += step
-        choice[top <= WIDTHS[s]] = s
+        np.copyto(choice, np.uint8(s), where=top <= WIDTHS[s])
     # Padding beyond a block is not the next block's: a word may only reach over the end where the file ends.
     ends = np.minimum((np.arange(blocks) + 1) * BLOCK, n)
     at = np.arange(blocks) * BLOCK
-    slots, sizes = [], np.zeros(blocks, np.int64)
+    slots, sizes = [], np.zeros(blocks, np.int64)  # of each word: block, place there, first id, selector
     live = np.arange(blocks)
-    lanes = np.arange(60, dtype=np.int64)
     while len(live):
         i = at[live]
         s = choice[i].astype(np.int64)
         left = ends[live] - i
         over = (COUNTS[s] > left) & (s > 0)
         s[over] = np.searchsorted(-COUNTS[1:], -left[over]) + 1  # fewer ids, in wider lanes
-        words = np.zeros(len(live), np.uint64)
-        for k in np.unique(s):
-            m = s == k
-            if k == 0:
-                continue
-            c, w = int(COUNTS[k]), int(WIDTHS[k])
-            words[m] = np.bitwise_or.reduce(flat[i[m][:, None] + lanes[:c]] << (lanes[:c] * w).astype(np.uint64), axis=1) | np.uint64(int(k) << 60)
-        slots.append((live, sizes[live].copy(), words))
-        sizes[live] += 1
-        raw = live[s == 0]
-        if len(raw):
-            slots.append((raw, sizes[raw].copy(), flat[at[raw]]))
-            sizes[raw] += 1
-        at[live] += np.where(s == 0, 1, COUNTS[s])
+        slots.append((live, sizes[live], i, s))
+        sizes[live] += 1 + (s == 0)
+        at[live] = i + np.where(s == 0, 1, COUNTS[s])
         live = live[at[live] < ends[live]]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     out = np.zeros(starts[-1], np.uint64)
-    for b, pos, words in slots:
-        out[starts[b] + pos] = words
+    block, place, first, selector = (np.concatenate(x) for x in zip(*slots))
+    place += starts[block]
+    for k in np.flatnonzero(np.bincount(selector)).tolist():
+        m = np.flatnonzero(selector == k)
+        i, to = first[m], place[m]
+        if k == 0:
+            out[to + 1] = flat[i]
+            continue
+        words = np.full(len(m), k << 60, np.uint64)
+        for lane in range(int(COUNTS[k])):
+            words |= flat[i + lane] << np.uint64(lane * int(WIDTHS[k]))
+        out[to] = words
     return out, sizes
 
 
@@ -235,13 +243,13 @@ class ByteBpe:
         mapped = ("\u0120" + text[1:] if text[0] == " " else text) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, chunks, known: dict[str, bytes]) -> None:
-        """chunks: a space and a word, a line break and a word, or the first word of a text."""
+    def _learn(self, chunks, known: dict[str, bytes], lead: str = "") -> None:
+        """chunks: a word, or a line break and a word. Words (not those after a line break) come after lead, a space or nothing."""
         odd, tails = [], self.tails
         for c in chunks:
-            lead = c[0] if c[0] in " \n" else ""
+            line = c[0] == "\n"
             stem = c.rstrip(PUNCTUATION)
-            if not stem[len(lead) :].isalpha():
+            if not (stem[1:] if line else stem).isalpha():
                 odd.append(c)
                 continue
             tail = c[len(stem) :]
@@ -250,16 +258,18 @@ class ByteBpe:
                     tails.clear()
                     tails[""] = b""
                 tails[tail] = self._ids([tail])[0]
-            known[c] = (self.newline + self._letters(stem[1:]) if lead == "\n" else self._letters(stem)) + tails[tail]
+            if (ids := known.get(stem)) is None:  # without the punctuation it may be known already
+                ids = known[stem] = self.newline + self._letters(stem[1:]) if line else self._letters(lead + stem)
+            if tail:
+                known[c] = ids + tails[tail]
         for i in range(0, len(odd), 1000):
-            known.update(zip(odd[i : i + 1000], self._ids(odd[i : i + 1000])))
+            part = odd[i : i + 1000]
+            known.update(zip(part, self._ids([c if c[0] == "\n" else lead + c for c in part])))
 
     def _remember(self, chunks: set[str]) -> None:
         if len(self.rest) + len(chunks) > CACHE_CHUNKS:  # the oldest half has the commonest
             self.rest = dict(islice(self.rest.items(), CACHE_CHUNKS // 2))
-        fresh: dict[str, bytes] = {}
-        self._learn([c if c[0] == "\n" else " " + c for c in chunks], fresh)
-        self.rest.update((c if c[0] == "\n" else c[1:], x) for c, x in fresh.items())
+        self._learn(chunks, self.rest, " ")
 
     def encode(self, texts: list) -> list[bytes]:
         if not hasattr(self, "newline"):
@@ -269,11 +279,12 @@ class ByteBpe:
             if not text:
                 out.append(b"")
                 continue
-            head, *chunks = text.replace("\n", " \n").split(" ")
-            if not head or "" in chunks or "\n" in chunks or any(c in text for c in RARE) or any(s in text for s in self.special):
+            shown = text.replace("\n", " \n")
+            if shown[0] == " " or shown[-1] in " \n" or "  " in shown or "\n " in shown or any(c in text for c in RARE) or any(s in text for s in self.special):
                 out.append(b"")  # white space in a row, at an end or of another kind
                 whole.append(i)
             else:
+                head, *chunks = shown.split(" ")
                 parts = list(map(self.rest.get, chunks))
                 missing = gaps(parts)
                 if missing:

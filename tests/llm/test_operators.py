@@ -686,3 +686,15 @@ def test_token_files_edges(spark, odd):
     assert [r[0] for r in out[1:]] == sorted(r[0] for r in out[1:])
     assert all(a[1] + a[2] == b[1] for a, b in zip(out, out[1:]))
     assert token_files.token_files(odd.where("false"), queries.vocabulary(queries.BYTE_MODEL)).count() == 0
+
+
+def test_words_are_encoded_once_whatever_follows(monkeypatch):
+    with open(queries.vocabulary(queries.BYTE_MODEL), encoding="utf-8") as f:
+        raw = f.read()
+    bpe, asked = token_files.ByteBpe(raw), []
+    letters = bpe._letters
+    monkeypatch.setattr(bpe, "_letters", lambda text: asked.append(text) or letters(text))
+    texts = ["Start zyxword, zyxword. (zyxword zyxword!?", "zyxword; zyxword\nzyxword,\nzyxword.", "étéx, étéx 12, 12", "a ", "\na", "a\n\nb", "a \nb", "a\n b", "a\n", ",", " "]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)]
+    assert got == [bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == [" zyxword", " étéx", "Start", "zyxword", "zyxword", "étéx"]  # first in a text and after a line break apart
